@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from korvex.llm import exact_dedup, mixing, simhash
+from korvex.llm import exact_dedup, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op4_toxicity": toxicity.query,
     "op5_mixing": mixing.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op9_quality_classifier": quality.query,
 }
 
 ORACLES = {
