@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from korvex.plans.util import cut, fresh, table
+from korvex.plans.util import BROADCAST_LIMIT, cut, fresh, table
 
 #: The uniform numbers have this many values, and their bits are a hash's first ones.
 SPAN = 1 << 48
@@ -57,6 +57,12 @@ def draws(counts: DataFrame, weights: dict[str, float] | None, total: int | None
     return c.withColumn("draws", F.col("whole") + F.when(F.row_number().over(order) <= left, 1).otherwise(0)).select("source", "size", "draws")
 
 
+def _by_source(docs: DataFrame, rows: DataFrame, source_col: str, name: str, how: str) -> DataFrame:
+    """docs with its source's row; the rows, one a source, are broadcast if their measured number is small."""
+    side = F.broadcast(rows) if rows.count() * 64 <= BROADCAST_LIMIT else rows
+    return docs.join(side, F.col(source_col).eqNullSafe(F.col(name)), how)
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies_col: str = "copies") -> DataFrame:
     """docs with copies_col, the times that each row is drawn (rows drawn at least once).
 
@@ -69,8 +75,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     sized = docs.withColumn(e, own)
     counts = sized.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("size"))
     targets = cut(draws(counts, weights, total)).select(F.col("source").alias(s), F.col("size").alias(z), F.col("draws").alias(d))
-    # Few rows (one a source); Spark broadcasts them if they are under its own threshold.
-    x = sized.join(targets, F.col(source_col).eqNullSafe(F.col(s))).drop(s)
+    x = _by_source(sized, targets, source_col, s, "inner").drop(s)
     x = x.withColumn(copies_col, F.expr(f"(`{d}` * `{e}`) div `{z}`")).withColumn(r, F.expr(f"(`{d}` * `{e}`) % `{z}`"))
     x = x.withColumn(u, uniform(F.col(id_col), seed))
     odds = (F.col(u).cast("double") / (F.lit(SPAN) - F.col(u)).cast("double")) / (F.col(r).cast("double") / (F.col(z) - F.col(r)).cast("double"))
@@ -83,7 +88,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     ends = ends.withColumn("before", F.coalesce(F.sum("n").over(per.orderBy(F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ends = cut(ends.where("at IS NOT NULL AND before < left AND before + n >= left").select(s, F.col("at").alias("end"), (F.col("left") - F.col("before")).alias("take")))
     t = ends.select(F.col(s).alias("kx_s2"), F.col("end").alias("kx_end"), F.col("take").alias("kx_take"))
-    x = x.join(t, F.col(source_col).eqNullSafe(F.col("kx_s2")), "left")
+    x = _by_source(x, t, source_col, "kx_s2", "left")
     below = F.coalesce(F.col(b) < F.col("kx_end"), F.lit(False))
     at = F.coalesce(F.col(b) == F.col("kx_end"), F.lit(False))
     clear = x.where(~at).withColumn(copies_col, F.col(copies_col) + below.cast("bigint"))

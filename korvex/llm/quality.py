@@ -172,8 +172,9 @@ class LineField:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b"".join(raw) or b" ", np.uint8)
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
-        x, _, owner = line_features(data, offsets)
-        x = with_neighbours(x, owner)
+        parts = [(i, line_features(data, offsets[i : j + 1])) for i, j in chunks(offsets, CHUNK)]
+        x = np.concatenate([with_neighbours(f, own) for _, (f, _, own) in parts])
+        owner = np.concatenate([own + i for i, (_, _, own) in parts])
         y = np.asarray(good, float)[owner]
         # Lines of the rarer class weigh more, in all as much as the others.
         weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
