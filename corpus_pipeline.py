@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korvex.llm import exact_dedup, mixing, simhash
+from korvex.llm import exact_dedup, mixing, packing, quality, simhash
 from korvex.plans.util import checkpoint_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
@@ -25,10 +29,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat(mixing.mix(docs))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good),
     ("exact dedup", exact),
     ("near dedup", near),
     ("mixing", mix),
+    ("packing", packed),
 ]
 
 #: SQL cannot express the classifier, the fingerprints and the packing.
