@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest build side, in bytes, that join_checked sends to every executor.
@@ -69,6 +69,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    return [quoted(c) for c in df.columns]
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int = 24, limit: int | None = None) -> DataFrame:
     """big join small; small is broadcast only if its measured size is under limit, and shuffled otherwise.
 
