@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvex.plans.util import cut, fresh, join_checked, table
+from korvex.plans.util import all_columns, cut, fresh, join_checked, quoted, table
 
 
 class CountingQuotientFilter:
@@ -171,7 +171,7 @@ def _candidates(docs: DataFrame, text_col: str, hash_col=None) -> tuple[DataFram
     repeated = cut(repeated_fingerprints(docs, text_col, hash_col).withColumnRenamed("fp", name).withColumn(hit, F.lit(True)))
     keyed = docs.withColumn(name, F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(text_col)) if hash_col is None else hash_col))
     out = join_checked(keyed, repeated, [name], "left", 32)
-    return out.withColumn(name, F.when(F.col(hit), F.col(name))).select(*docs.columns, name), name
+    return out.withColumn(name, F.when(F.col(hit), F.col(name))).select(*all_columns(docs), name), name
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_col=None) -> DataFrame:
@@ -187,8 +187,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_col=None) -> DataFrame:
     """docs without the later copies of each text; all columns and all rows with a null text stay."""
     flagged, fp = _candidates(docs, text_col, hash_col)
-    unique = flagged.where(F.col(fp).isNull()).select(*docs.columns)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")))
+    unique = flagged.where(F.col(fp).isNull()).select(*all_columns(docs))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")))
     copies = flagged.where(F.col(fp).isNotNull()).groupBy(fp, text_col).agg(first.alias("kx_first"))
     kept = copies.select(*[F.col(f"kx_first.row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
     return unique.unionByName(kept)

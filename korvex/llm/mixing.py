@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from korvex.plans.util import BROADCAST_LIMIT, cut, fresh, table
+from korvex.plans.util import BROADCAST_LIMIT, all_columns, cut, fresh, quoted, table
 
 #: The uniform numbers have this many values, and their bits are a hash's first ones.
 SPAN = 1 << 48
@@ -63,12 +63,15 @@ def _by_source(docs: DataFrame, rows: DataFrame, source_col: str, name: str, how
     return docs.join(side, F.col(source_col).eqNullSafe(F.col(name)), how)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies_col: str = "copies") -> DataFrame:
-    """docs with copies_col, the times that each row is drawn (rows drawn at least once).
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies_col: str | None = None) -> DataFrame:
+    """docs with a last column, copies, the times that each row is drawn (rows drawn at least once).
 
     weights: target share by source (None: square root of the share); total:
-    draws in all (None: as many as rows).
+    draws in all (None: as many as rows); copies_col: the column's name (None:
+    copies, with underscores before it where docs has that already).
     """
+    copies_col = copies_col or fresh(docs, "copies")
+    s2, end, take, rank = (fresh(docs, f"kx_{x}") for x in ("source2", "end", "take", "rank"))
     s, d, z, e, u, r, key, b = (fresh(docs, f"kx_{x}") for x in ("source", "draws", "size", "own", "u", "rest", "key", "bucket"))
     # A size is 1 + the root of the length: longer texts are likelier, not in proportion.
     own = F.floor(F.sqrt(F.coalesce(F.length(text_col), F.lit(0)).cast("double"))).cast("bigint") + 1
@@ -87,22 +90,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     ends = narrow.withColumn("left", F.expr(f"CAST(sum(rests) OVER (PARTITION BY `{s}`) AS BIGINT) div size"))
     ends = ends.withColumn("before", F.coalesce(F.sum("n").over(per.orderBy(F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ends = cut(ends.where("at IS NOT NULL AND before < left AND before + n >= left").select(s, F.col("at").alias("end"), (F.col("left") - F.col("before")).alias("take")))
-    t = ends.select(F.col(s).alias("kx_s2"), F.col("end").alias("kx_end"), F.col("take").alias("kx_take"))
-    x = _by_source(x, t, source_col, "kx_s2", "left")
-    below = F.coalesce(F.col(b) < F.col("kx_end"), F.lit(False))
-    at = F.coalesce(F.col(b) == F.col("kx_end"), F.lit(False))
+    t = ends.select(F.col(s).alias(s2), F.col("end").alias(end), F.col("take").alias(take))
+    x = _by_source(x, t, source_col, s2, "left")
+    below = F.coalesce(F.col(b) < F.col(end), F.lit(False))
+    at = F.coalesce(F.col(b) == F.col(end), F.lit(False))
     clear = x.where(~at).withColumn(copies_col, F.col(copies_col) + below.cast("bigint"))
-    tie = [F.col(key).asc(), F.col(id_col).asc_nulls_first(), F.xxhash64(*docs.columns)]
-    edge = x.where(at).withColumn("kx_rank", F.row_number().over(Window.partitionBy(source_col).orderBy(*tie)))
-    edge = edge.withColumn(copies_col, F.col(copies_col) + (F.col("kx_rank") <= F.col("kx_take")).cast("bigint"))
-    columns = [*[F.col(c) for c in docs.columns], F.col(copies_col)]
+    tie = [F.col(key).asc(), F.col(id_col).asc_nulls_first(), F.xxhash64(*all_columns(docs))]
+    edge = x.where(at).withColumn(rank, F.row_number().over(Window.partitionBy(source_col).orderBy(*tie)))
+    edge = edge.withColumn(copies_col, F.col(copies_col) + (F.col(rank) <= F.col(take)).cast("bigint"))
+    columns = [*all_columns(docs), F.col(copies_col)]
     return clear.select(*columns).unionByName(edge.select(*columns)).where(F.col(copies_col) > 0)
 
 
-def repeat(mixed: DataFrame, copies_col: str = "copies") -> DataFrame:
-    """Each row as often as copies_col says, without that column."""
-    columns = [c for c in mixed.columns if c != copies_col]
-    return mixed.withColumn(copies_col, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies_col)))).select(*columns)
+def repeat(mixed: DataFrame) -> DataFrame:
+    """Each row as often as the last column says, without that column."""
+    *columns, copies = all_columns(mixed)
+    name = fresh(mixed, "kx_copy")
+    return mixed.withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
     """Sorted lengths from 1, depth at most, that add up to bins exactly."""
     out = []
     for d in range(1, depth + 1):
-        for head in combinations_with_replacement(range(1, bins // d + 1), d - 1):
+        for head in combinations_with_replacement(range(1, bins // min(d, 2) + 1), d - 1):
             last = bins - sum(head)
             if last >= (head[-1] if head else 1):
                 out.append((*head, last))
