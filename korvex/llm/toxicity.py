@@ -64,14 +64,19 @@ _RUN = re.compile(r"(?:(?<=\s)|^)(?:[^\W\d_][\W_]+){2,}[^\W\d_](?=[\W_]|$)")
 _TRIPLES: dict[int, tuple[np.ndarray, ...]] = {}
 
 
+def windows(letters: str) -> list[str]:
+    """The letters, in overlapping windows if there are many; none if they have no subsequence of three."""
+    if len(letters) <= WINDOW:
+        return [letters] if len(letters) > 2 else []
+    return [letters[k : k + WINDOW] for k in range(0, len(letters) - WINDOW + STEP, STEP)]
+
+
 def spans_of_word(word: str) -> list[str]:
     """Letters of a lower-case word, in windows if there are many."""
     word = _OUTER.sub("", word)
     if not word.isalpha():
         word = _INNER.sub("", word.translate(_LEET))
-    if len(word) <= WINDOW:
-        return [word] if len(word) > 2 else []
-    return [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW + STEP, STEP)]
+    return windows(word)
 
 
 def runs(text: str) -> list[str]:
@@ -298,30 +303,41 @@ def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, c
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
+def _places(text: str | None) -> Iterator[tuple[list[str], int]]:
+    """Of each word (and each run of single letters): its spans, and a number for its surroundings."""
+    for sentence in _SENTENCE.findall((text or "").lower()):
+        words = [_OUTER.sub("", w) for w in sentence.split()]
+        for k, word in enumerate(words):
+            yield spans_of_word(word), hash((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
+        for s in runs(sentence):
+            yield windows(s), hash(sentence)
+
+
 def labelled_spans(texts: list[str], toxic: list[bool]) -> tuple[list[str], Counter, int]:
     """Insults of toxic sentences, how often clean text has which spans, and its number of words."""
-    around: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    clean: Counter = Counter()
     n, total = max(1, sum(toxic)), 0
+    around = defaultdict(set)
     for text, bad in zip(texts, toxic):
-        for sentence in _SENTENCE.findall((text or "").lower()):
-            words = [_OUTER.sub("", w) for w in sentence.split()]
-            spans = [spans_of_word(w) for w in words]
-            for k, own in enumerate(spans):
+        if bad:
+            for own, place in _places(text):
                 for s in own:
-                    around[bad][s].add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
-            joined = runs(sentence)
-            for s in joined:
-                around[bad][s].add((sentence[:20], ""))
-            if not bad:
-                clean.update(s for own in spans for s in own)
-                clean.update(joined)
-                total += len(words)
+                    around[s].add(place)
     # A copied document repeats its words' surroundings, so only differing ones count.
     least = max(4, 0.02 * n)
+    around = {s: len(places) for s, places in around.items() if len(places) >= least}
+    clean: Counter = Counter()
+    elsewhere = {s: set() for s in around}  # only what may be a mark needs its surroundings in clean text
+    for text, bad in zip(texts, toxic):
+        if not bad:
+            total += len(text.split()) if text else 0
+            for own, place in _places(text):
+                clean.update(own)
+                for s in own:
+                    if s in elsewhere:
+                        elsewhere[s].add(place)
     share = n / max(1, len(toxic) - n)
-    marks = [s for s, places in around[1].items() if len(places) >= least and len(places) > 25 * share * len(around[0].get(s, ()))]
-    return sorted(marks, key=lambda s: (-len(around[1][s]), s)), clean, total
+    marks = [s for s, places in around.items() if places > 25 * share * len(elsewhere[s])]
+    return sorted(marks, key=lambda s: (-around[s], s)), clean, total
 
 
 class TextScorer:
@@ -359,8 +375,12 @@ class TextScorer:
             hits = [(w, *self.bad[w]) for w in words if w in self.bad] if not self.bad.keys().isdisjoint(words) else []
             joined = runs(text.lower()) if text and _SINGLES.search(text) else []
             if joined:
-                scores = self.machine.scores([s[:WINDOW] for s in joined])
-                hits += [(s, int(self.machine.families([s])[0]), float(v)) for s, v in zip(joined, scores) if v > MARGIN]
+                for run in joined:  # a run is one hit, by its worst window
+                    own = windows(run)
+                    scores = self.machine.scores(own)
+                    k = int(scores.argmax())
+                    if scores[k] > MARGIN:
+                        hits.append((own[k], int(self.machine.families([own[k]])[0]), float(scores[k])))
             best = self.machine.surprise([h[1:] for h in hits], len(words)) if hits else 0.0
             out.append((best, min(hits, key=lambda h: (-h[2], h[0]))[0]) if best > -math.log(CHANCE) else None)
         return out
