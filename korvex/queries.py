@@ -1,14 +1,719 @@
-"""Every registered query of the engine, and its SQL where SQL can express it."""
+"""Every registered query of the engine, and its SQL where SQL can express it.
+
+All run over whole tables. documents stand for indexed objects (title
+"document N", a cluster for each language), benchmark for a batch of queries,
+embeddings for stored vectors, events for change feeds and job logs.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from korvex.functions import text as T
+from korvex.operators import browse as B
+from korvex.operators import chunking, embedding
+from korvex.operators import maintain as M
+from korvex.operators import retrieval as R
+from korvex.plans.util import checkpoint_dir, cut, table, written
+from korvex.sources import files, vault
+from korvex.streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Tables as objects
+
+WORDS = r"'[\p{L}\p{N}]+'"
+ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NORM = r"regexp_replace(regexp_replace(nfc_normalize(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))), '^[\s\x0B\x{85}\p{Z}]+', ''), '[\s\x0B\x{85}\p{Z}]+$', '')"
+OBJECTS = "SELECT 'doc-' || doc_id AS document_id, 'document ' || doc_id AS title, text AS body, source AS source_id, lang AS cluster_id, '/corpus/' || source || '/' || doc_id || '.txt' AS source_uri, doc_id FROM documents"
+
+
+def objects(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    n = F.col("doc_id").cast("string")
+    return d.select(F.concat(F.lit("doc-"), n).alias("document_id"), F.concat(F.lit("document "), n).alias("title"), F.col("text").alias("body"), F.col("source").alias("source_id"), F.col("lang").alias("cluster_id"), F.concat(F.lit("/corpus/"), "source", F.lit("/"), n, F.lit(".txt")).alias("source_uri"), "doc_id")
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of all documents, named by document and ordinal."""
+    c = chunking.chunk(objects(spark, sf), "document_id")
+    return c.withColumn("chunk_id", F.concat("document_id", F.lit("#"), F.col("ordinal").cast("string")))
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector for the first chunk of each document whose number a vector has."""
+    return table(spark, sf, "embeddings").select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string"), F.lit("#0")).alias("chunk_id"), "embedding")
+
+
+_END = "CASE WHEN {s} + 1600 >= n THEN n WHEN strpos(reverse(substring(text, CAST({s} + 401 AS BIGINT), 1200)), chr(10)) > 0 THEN {s} + 1600 - strpos(reverse(substring(text, CAST({s} + 401 AS BIGINT), 1200)), chr(10)) ELSE {s} + 1600 END"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8239) || chr(8201)"
+#: Windows as a recursive query; ck has one row a chunk.
+CHUNKS = f"""
+WITH RECURSIVE o AS ({OBJECTS}),
+n AS (SELECT document_id, text, length(text) AS n FROM (SELECT 'doc-' || doc_id AS document_id, {NORM} AS text FROM documents)),
+w AS (
+  SELECT document_id, text, n, CAST(0 AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS s, CAST({_END.format(s="0")} AS BIGINT) AS e FROM n
+  UNION ALL
+  SELECT document_id, text, n, ordinal + 1, s, CAST({_END.format(s="s")} AS BIGINT) FROM (
+    SELECT document_id, text, n, ordinal, CASE WHEN e - least(160, e - s) > s THEN e - least(160, e - s) ELSE e END AS s FROM w WHERE e < n)),
+r AS (SELECT document_id, text, ordinal, s, e, substring(text, s + 1, e - s) AS raw FROM w),
+t AS (SELECT document_id, text AS whole, ordinal, CASE WHEN trim(raw, {_BLANK}) = '' THEN raw ELSE trim(raw, {_BLANK}) END AS text,
+  s + CASE WHEN trim(raw, {_BLANK}) = '' THEN 0 ELSE length(raw) - length(ltrim(raw, {_BLANK})) END AS a FROM r),
+ck AS (SELECT document_id || '#' || ordinal AS chunk_id, t.document_id, ordinal, text, a, a + length(text) AS b, whole, title, source_uri, source_id, cluster_id FROM t JOIN o USING (document_id))
+"""
+
+# Text
+
+
+@register(f"SELECT doc_id, {NORM} AS body FROM documents")
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.normalize(F.coalesce("text", F.lit(""))).alias("body"))
+
+
+@register(f"SELECT doc_id, generate_subscripts(words, 1) AS position, unnest(words) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORDS}) AS words FROM documents)")
+def tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("p", "token"))
+    return d.select("doc_id", (F.col("p") + 1).cast("bigint").alias("position"), "token")
+
+
+@register(f"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), {WORDS})) AS BIGINT) AS n_tokens FROM documents")
+def token_count(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.token_count(F.col("text")).cast("bigint").alias("n_tokens"))
+
+
+_FNV = "CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: CAST('0x' || h AS UHUGEINT))), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616) AS UBIGINT)"
+
+
+@register(f"SELECT doc_id, lower(ltrim(hex({_FNV.format("'document' || chr(1) || title || chr(1) || source_uri")}), '0')) AS hash FROM ({OBJECTS})")
+def fnv1a_hash(spark: SparkSession, sf: str) -> DataFrame:
+    o = objects(spark, sf)
+    joined = F.encode(F.concat(F.lit("document\x01"), "title", F.lit("\x01"), "source_uri"), "utf-8")
+    return o.select("doc_id", T._fnv(joined).alias("hash"))
+
+
+@register()
+def document_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Content hash, version, lineage and representation ids of all documents; a byte-wise hash of whole texts is too slow in SQL."""
+    o = objects(spark, sf).select(F.col("document_id").alias("id"), F.lit("public.plain-text").alias("type"), "title", "body", F.lit(None).cast("string").alias("representation_id"))
+    return chunking.with_ids(o).select("id", "content_hash", "version_id", "lineage_id", "active_representation_id")
+
+
+@register()
+def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunking.chunk(objects(spark, sf), "document_id").withColumn("lineage_id", F.concat("document_id", F.lit(":representation:plainText"))).withColumn("policy_id", F.lit("default"))
+    return chunking.chunk_ids(c).select("document_id", "ordinal", "chunk_id", "content_hash")
+
+
+@register(
+    "SELECT page_id, extension, CASE WHEN extension IN ('md', 'markdown') THEN 'markdown' WHEN extension = 'json' THEN 'structuredJSON' WHEN extension IN ('py', 'swift', 'c', 'h', 'js', 'sh') THEN 'code' ELSE 'plainText' END AS kind FROM (SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS extension FROM pages)"
+)
+def content_type_kind(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    return p.select("page_id", T.path_extension(F.col("url")).alias("extension"), T.representation_kind(T.content_type_of(F.col("url"))).alias("kind"))
+
+
+@register(f"SELECT document_id AS id, 'log' AS type, title, trim({NORM}, {_BLANK}) AS body, cluster_id FROM (SELECT *, body AS text FROM ({OBJECTS}))")
+def frontmatter_parse(spark: SparkSession, sf: str) -> DataFrame:
+    o = objects(spark, sf)
+    contents = F.concat(F.lit("---\nid: "), "document_id", F.lit("\ntype : log\nnot a pair\ntitle: \""), "title", F.lit("\"\ncluster: "), "cluster_id", F.lit("\n---\n"), T.normalize(F.coalesce("body", F.lit(""))))
+    notes = o.select(contents.alias("contents"), F.col("source_uri").alias("relative_path"))
+    return vault.parse(notes).select("id", "type", "title", "body", "cluster_id")
+
+
+# Chunks
+
+
+@register(
+    CHUNKS
+    + f"""SELECT document_id, ordinal, text, CAST(a AS BIGINT) AS character_start, CAST(b AS BIGINT) AS character_end,
+  CAST(strlen(substring(whole, 1, a)) AS BIGINT) AS byte_start, CAST(strlen(substring(whole, 1, b)) AS BIGINT) AS byte_end,
+  CAST(len(regexp_extract_all(substring(whole, 1, a), {WORDS})) AS BIGINT) AS token_start,
+  CAST(len(regexp_extract_all(substring(whole, 1, a), {WORDS})) + len(regexp_extract_all(text, {WORDS})) AS BIGINT) AS token_end,
+  CAST(1 + length(substring(whole, 1, a)) - length(replace(substring(whole, 1, a), chr(10), '')) AS BIGINT) AS line_start,
+  CAST(1 + length(substring(whole, 1, b)) - length(replace(substring(whole, 1, b), chr(10), '')) AS BIGINT) AS line_end,
+  substring(whole, greatest(a - 119, 1), least(a, 120)) AS context_before, substring(whole, b + 1, 120) AS context_after FROM ck"""
+)
+def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks(spark, sf).drop("chunk_id", "content_hash", "occurrence")
+
+
+@register(CHUNKS + "SELECT document_id, ordinal, CAST(row_number() OVER (PARTITION BY document_id, text ORDER BY ordinal) - 1 AS BIGINT) AS occurrence FROM ck")
+def chunk_occurrence(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.occurrences(chunks(spark, sf).drop("occurrence")).select("document_id", "ordinal", "occurrence")
+
+
+@register(CHUNKS + "SELECT chunk_id, ordinal, CAST(length(text) AS BIGINT) AS characters, EXISTS (SELECT 1 FROM embeddings v WHERE 'doc-' || v.vec_id || '#0' = chunk_id) AS has_embedding FROM ck")
+def chunk_inspector(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunks(spark, sf).withColumn("active", F.lit(True))
+    return B.inspect_chunks(c, chunk_vectors(spark, sf)).select("chunk_id", "ordinal", F.length("text").cast("bigint").alias("characters"), "has_embedding")
+
+
+@register(CHUNKS + "SELECT chunk_id, ordinal FROM (SELECT * FROM ck WHERE (document_id, ordinal, chunk_id) > ('doc-3', 1, 'doc-3#1')) ORDER BY document_id, ordinal, chunk_id LIMIT 100")
+def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
+    return B.keyset_page(chunks(spark, sf).select("document_id", "ordinal", "chunk_id"), ("doc-3", 1, "doc-3#1"), 100).select("chunk_id", "ordinal")
+
+
+# Embeddings
+
+
+@register(
+    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORDS})) AS word FROM documents),
+h AS (SELECT word, CAST({_FNV.format("word")} % 1024 AS BIGINT) AS bucket FROM (SELECT DISTINCT word FROM t)),
+c AS (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n FROM t JOIN h USING (word) GROUP BY ALL)
+SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c"""
+)
+def hashing_embed(spark: SparkSession, sf: str) -> DataFrame:
+    out = embedding.buckets(table(spark, sf, "documents"), "doc_id", "text")
+    return out.select(F.col("id").alias("doc_id"), "bucket", F.round("weight", 6).alias("weight"))
+
+
+@register("SELECT CAST(len(embedding) AS BIGINT) AS dimension, count(*) AS n, count(CASE WHEN abs(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) - 1) < 1e-5 THEN 1 END) AS n_unit FROM embeddings GROUP BY ALL")
+def embedding_validation(spark: SparkSession, sf: str) -> DataFrame:
+    v = embedding.validated(table(spark, sf, "embeddings"), 64)
+    return v.groupBy(F.size("embedding").cast("bigint").alias("dimension")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(R.dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-5).alias("n_unit"))
+
+
+_DOT = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+
+
+@register(f"SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT v.vec_id, round({_DOT.format('v.embedding', 'q.embedding')}, 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY score DESC, vec_id LIMIT 20")
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = v.where("chunk_id = 0").select(F.lit(0).cast("bigint").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.vector_channel(q, v, 20, 6).select(F.col("chunk_id").alias("vec_id"), "score", "rank")
+
+
+@register(f"SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({_DOT.format('v.embedding', 'q.embedding')}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format('v.embedding', 'q.embedding')}, 6) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q) WHERE rank <= 10")
+def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.vector_channel(q, v, 10, 6).select("query_id", F.col("chunk_id").alias("vec_id"), "score", "rank")
+
+
+@register(f"SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT v.vec_id, round({_DOT.format('v.embedding', 'q.embedding')}, 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.label = 3) ORDER BY score DESC, vec_id LIMIT 10")
+def vector_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    q = e.where("vec_id = 0").select(F.lit(0).cast("bigint").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.vector_channel(q, e.where("label = 3").select(F.col("vec_id").alias("chunk_id"), "embedding"), 10, 6).select(F.col("chunk_id").alias("vec_id"), "score", "rank")
+
+
+# Keyword index
+
+_INDEXED = "text || chr(10) || title || chr(10) || source_uri"
+POSTINGS = (
+    CHUNKS
+    + f""", p AS (SELECT chunk_id, unnest(regexp_extract_all(lower({_INDEXED}), {WORDS})) AS term FROM ck),
+tf AS (SELECT term, chunk_id, count(*) AS tf FROM p GROUP BY ALL),
+ln AS (SELECT chunk_id, CAST(len(regexp_extract_all(lower({_INDEXED}), {WORDS})) AS BIGINT) AS length FROM ck)"""
+)
+BM25 = (
+    POSTINGS
+    + f""", st AS (SELECT count(*) AS n, avg(length) AS mean FROM ln),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, st),
+q AS (SELECT query_id, term, count(*) AS weight FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, round(sum(weight * idf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN ln USING (chunk_id), st GROUP BY ALL),
+fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 40)"""
+)
+
+
+def _index(spark: SparkSession, sf: str, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks with titles, postings and statistics."""
+    c = written(chunks(spark, sf).join(objects(spark, sf).select("document_id", "title", "source_uri", "source_id", "cluster_id"), "document_id"))
+    text = R.index_text("text", "title", "source_uri")
+    return c, R.postings(c, text, stem=stem), R.corpus_stats(c, text)
+
+
+@register(POSTINGS + "SELECT term, chunk_id, tf, length FROM tf JOIN ln USING (chunk_id)")
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf)[1].select("term", "chunk_id", "tf", "length")
+
+
+@register(POSTINGS + "SELECT count(*) AS n_chunks, round(avg(length), 6) AS mean_length FROM ln")
+def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf)[2].select("n_chunks", F.round("mean_length", 6).alias("mean_length"))
+
+
+@register(BM25 + "SELECT query_id, chunk_id, score, rank FROM fts WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    _, index, stats = _index(spark, sf)
+    return R.keyword_channel(questions(spark, sf), index, stats, None, 10, digits=6).select("query_id", "chunk_id", "score", "rank")
+
+
+@register()
+def bm25_porter(spark: SparkSession, sf: str) -> DataFrame:
+    """With stems, which SQL here has none of; tested against an SQL store's full-text index."""
+    _, index, stats = _index(spark, sf, True)
+    return R.keyword_channel(questions(spark, sf), index, stats, None, 10, True, 6).select("query_id", "chunk_id", "score", "rank")
+
+
+@register(
+    CHUNKS
+    + f""", q AS (SELECT r_regionkey AS query_id, 'T ' || r_regionkey AS query FROM region),
+x AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY title, ordinal, chunk_id) AS rank FROM ck, q
+  WHERE contains({ASCII_LOWER.format("title")}, {ASCII_LOWER.format("query")}) OR contains({ASCII_LOWER.format("source_uri")}, {ASCII_LOWER.format("query")}))
+SELECT query_id, chunk_id, rank FROM x WHERE rank <= 40"""
+)
+def exact_like_escape(spark: SparkSession, sf: str) -> DataFrame:
+    """Literal substrings of titles or URIs, ASCII letters in either case."""
+    c, _, _ = _index(spark, sf)
+    q = table(spark, sf, "region").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("T "), F.col("r_regionkey").cast("string")).alias("query"))
+    return R.exact_channel(q, c, 40).select("query_id", "chunk_id", "rank")
+
+
+# Hybrid search: the three channels of the benchmark's items
+
+_VEC = (
+    BM25
+    + f""", ev AS (SELECT vec_id, embedding FROM embeddings),
+vec AS (SELECT * FROM (SELECT i.item_id AS query_id, 'doc-' || v.vec_id || '#0' AS chunk_id, round({_DOT.format('v.embedding', 'u.embedding')}, 6) AS score,
+  row_number() OVER (PARTITION BY i.item_id ORDER BY round({_DOT.format('v.embedding', 'u.embedding')}, 6) DESC, 'doc-' || v.vec_id || '#0') AS rank
+  FROM benchmark i JOIN ev u ON u.vec_id = i.item_id, ev v WHERE 'doc-' || v.vec_id || '#0' IN (SELECT chunk_id FROM ck)) WHERE rank <= 40)"""
+)
+_FUSED = (
+    _VEC
+    + """, every AS (SELECT query_id, chunk_id, 'fts' AS channel, rank, score FROM fts UNION ALL SELECT query_id, chunk_id, 'vector', rank, score FROM vec),
+g AS (SELECT query_id, chunk_id, sum(1.0e0 / (60 + rank)) AS fused, max(CASE WHEN channel = 'fts' THEN rank END) AS fts_rank, max(CASE WHEN channel = 'vector' THEN rank END) AS vector_rank,
+  max(CASE WHEN channel = 'vector' THEN score END) AS similarity FROM every GROUP BY ALL)"""
+)
+_HITS = _FUSED + ", hit AS (SELECT * FROM (SELECT *, round(fused, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, chunk_id) AS rank FROM g) WHERE rank <= 10)"
+
+
+def _channels(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    c, index, stats = _index(spark, sf)
+    q = questions(spark, sf)
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    vectors = chunk_vectors(spark, sf).join(c.select("chunk_id"), "chunk_id", "left_semi")
+    return c, {"fts": R.keyword_channel(q, index, stats, c, 40, digits=6), "vector": R.vector_channel(q.select("query_id").join(v, "query_id"), vectors, 40, 6)}
+
+
+_HIT_COLUMNS = ["query_id", "chunk_id", "score", "fts_rank", "vector_rank", "similarity", "rank"]
+
+
+@register(_HITS + "SELECT query_id, chunk_id, score, fts_rank, vector_rank, similarity, rank FROM hit")
+def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    _, channels = _channels(spark, sf)
+    return R.fuse(channels, 10, digits=9).select(*_HIT_COLUMNS)
+
+
+@register(
+    _FUSED
+    + """, b AS (SELECT g.*, round(CASE WHEN cluster_id = 'en' THEN fused * 2 ELSE fused END, 9) AS score FROM g LEFT JOIN ck USING (chunk_id))
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b) WHERE rank <= 10"""
+)
+def soft_scope_boost(spark: SparkSession, sf: str) -> DataFrame:
+    c, channels = _channels(spark, sf)
+    return R.fuse(channels, 10, c, R.Scope("en", hard=False), digits=9).select("query_id", "chunk_id", "score", "rank")
+
+
+@register(_HITS + "SELECT query_id, chunk_id, rank, fts_rank IS NULL AND coalesce(similarity < 0.25, false) AS is_weak FROM hit")
+def weak_partition(spark: SparkSession, sf: str) -> DataFrame:
+    _, channels = _channels(spark, sf)
+    return R.with_weakness(R.fuse(channels, 10, digits=9), 0.25).select("query_id", "chunk_id", "rank", "is_weak")
+
+
+@register(_HITS + "SELECT query_id, chunk_id, hit.rank, hit.score, title, source_uri, cluster_id, ordinal, text, EXISTS (SELECT 1 FROM embeddings v WHERE 'doc-' || v.vec_id || '#0' = chunk_id) AS embedded FROM hit JOIN ck USING (chunk_id)")
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Fused hits with their texts; snippets are tested apart, as SQL folds no diacritics in place."""
+    c, channels = _channels(spark, sf)
+    hits = R.fuse(channels, 10, digits=9)
+    c = c.withColumn("active", F.lit(True))
+    documents = objects(spark, sf).withColumn("is_deleted", F.lit(False)).withColumn("content_type", F.lit("public.plain-text"))
+    vectors = chunk_vectors(spark, sf).withColumn("embedding_space_id", F.lit("synthetic:64"))
+    out = R.hydrate(hits, questions(spark, sf), c.drop("title", "source_uri", "source_id", "cluster_id"), documents, vectors, "synthetic:64")
+    return out.select("query_id", "chunk_id", "rank", "score", "title", "source_uri", "cluster_id", "ordinal", "text", F.col("embedding_space_id").isNotNull().alias("embedded"))
+
+
+flagship = hybrid_search
+
+
+@register()
+def snippets(spark: SparkSession, sf: str) -> DataFrame:
+    c, index, stats = _index(spark, sf)
+    q = questions(spark, sf)
+    hits = R.keyword_channel(q, index, stats, None, 10, digits=6).join(c.select("chunk_id", "text"), "chunk_id").join(q, "query_id")
+    return hits.select("query_id", "chunk_id", R.snippet(F.col("text"), F.col("query")).alias("snippet"))
+
+
+@register(
+    BM25
+    + """, h AS (SELECT query_id, chunk_id, score, rank, CASE WHEN cluster_id IN ('en', 'de') THEN 'north' ELSE 'south' END AS index_id FROM (
+  SELECT sc.query_id, sc.chunk_id, sc.score, cluster_id, row_number() OVER (PARTITION BY sc.query_id, cluster_id IN ('en', 'de') ORDER BY sc.score DESC, sc.chunk_id) AS rank FROM sc JOIN ck USING (chunk_id)) WHERE rank <= 10)
+SELECT query_id, chunk_id, index_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_id, rank, chunk_id) AS workspace_rank FROM h"""
+)
+def federated_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Two indexes by language searched apart, and their hits in one order."""
+    c, index, stats = _index(spark, sf)
+    north = F.coalesce(F.col("cluster_id").isin("en", "de"), F.lit(False))
+    hits = {name: R.keyword_channel(questions(spark, sf), index, stats, c.where(own), 10, digits=6).withColumn("similarity", F.lit(None).cast("double")).withColumn("is_weak", F.lit(False)) for name, own in (("north", north), ("south", ~north))}
+    return R.federate(hits).select("query_id", "chunk_id", "index_id", "rank", "workspace_rank")
+
+
+# Filters, joins and aggregates of the store
+
+_VIEW = f"WITH o AS ({OBJECTS}), v AS (SELECT 'doc-' || vec_id AS document_id, label FROM embeddings), l AS (SELECT 'doc-' || doc_id AS document_id, quality, toxic FROM labels WHERE doc_id IS NOT NULL) "
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").where("doc_id IS NOT NULL").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "quality", "toxic")
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("document_id"), "label")
+
+
+@register("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src5', 'src9') AND lang IN ('en', 'fr')")
+def filter_in_set(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where(F.col("source").isin("src1", "src5", "src9") & F.col("lang").isin("en", "fr")).select("doc_id", "source")
+
+
+@register(BM25 + "SELECT query_id, chunk_id, score, rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc JOIN ck USING (chunk_id) WHERE cluster_id = 'de') WHERE rank <= 5")
+def filter_hard_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """The cluster narrows the candidates before the cut; frequencies stay those of all chunks."""
+    c, index, stats = _index(spark, sf)
+    return R.keyword_channel(questions(spark, sf), index, stats, c.where("cluster_id = 'de'"), 5, digits=6).select("query_id", "chunk_id", "score", "rank")
+
+
+@register(_VIEW + "SELECT doc_id FROM o WHERE EXISTS (SELECT 1 FROM v WHERE v.document_id = o.document_id AND label < 5)")
+def semi_exists(spark: SparkSession, sf: str) -> DataFrame:
+    return objects(spark, sf).join(_vectors(spark, sf).where("label < 5"), "document_id", "left_semi").select("doc_id")
+
+
+@register(_VIEW + "SELECT doc_id FROM o WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.document_id = o.document_id)")
+def anti_not_exists(spark: SparkSession, sf: str) -> DataFrame:
+    return objects(spark, sf).join(_vectors(spark, sf), "document_id", "left_anti").select("doc_id")
+
+
+@register("SELECT event_id, CASE WHEN event_type IS NOT NULL AND event_type <> '' THEN event_type ELSE 'none' END || ':' || coalesce(CAST(user_id AS VARCHAR), '') AS label, CASE WHEN value < 10 THEN 'low' WHEN value < 100 THEN 'mid' ELSE 'high' END AS band FROM events")
+def case_coalesce(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_type").isNotNull() & (F.col("event_type") != ""), F.col("event_type")).otherwise("none")
+    band = F.when(F.col("value") < 10, "low").when(F.col("value") < 100, "mid").otherwise("high")
+    return e.select("event_id", F.concat(kind, F.lit(":"), F.coalesce(F.col("user_id").cast("string"), F.lit(""))).alias("label"), band.alias("band"))
+
+
+@register("SELECT l_orderkey, l_linenumber, o_orderstatus, c_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity > 45")
+def inner_join_hydrate(spark: SparkSession, sf: str) -> DataFrame:
+    """A chain of N:1 joins; sides are broadcast as far as Spark measures them small."""
+    li = table(spark, sf, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber")
+    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    out = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
+    return out.select("l_orderkey", "l_linenumber", "o_orderstatus", "c_name", "n_name")
+
+
+@register(_VIEW + "SELECT o.doc_id, v.label FROM o LEFT JOIN v ON v.document_id = o.document_id AND v.label <= 4")
+def left_join_space(spark: SparkSession, sf: str) -> DataFrame:
+    return objects(spark, sf).join(_vectors(spark, sf).where("label <= 4"), "document_id", "left").select("doc_id", "label")
+
+
+_STATES = "WITH prev AS (SELECT 'local:' || o_orderkey AS document_id, o_orderstatus AS fingerprint FROM orders WHERE o_orderstatus <> 'P'), cur AS (SELECT 'local:' || o_orderkey AS document_id, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS fingerprint FROM orders WHERE o_orderpriority <> '5-LOW') "
+
+
+def _states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf, "orders").withColumn("document_id", F.concat(F.lit("local:"), F.col("o_orderkey").cast("string")))
+    prev = o.where("o_orderstatus <> 'P'").select("document_id", F.col("o_orderstatus").alias("fingerprint"))
+    cur = o.where("o_orderpriority <> '5-LOW'").select("document_id", F.when(F.col("o_totalprice") > 300000, "X").otherwise(F.col("o_orderstatus")).alias("fingerprint"))
+    return prev, cur
+
+
+@register(_STATES + "SELECT coalesce(p.document_id, c.document_id) AS document_id, CASE WHEN c.document_id IS NULL THEN 'delete' ELSE 'upsert' END AS op FROM prev p FULL JOIN cur c ON p.document_id = c.document_id WHERE c.document_id IS NULL OR p.document_id IS NULL OR p.fingerprint <> c.fingerprint")
+def full_outer_cdc_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return files.changes(*_states(spark, sf)).select("document_id", "op")
+
+
+@register(_STATES + "SELECT coalesce(p.document_id, c.document_id) AS document_id, CASE WHEN c.document_id IS NULL AND p.document_id LIKE 'local:1%' THEN 'permissionChanged' WHEN c.document_id IS NULL THEN 'delete' ELSE 'upsert' END AS op FROM (SELECT 'local:' || substr(document_id, 7, 1) || '/' || substr(document_id, 7) AS document_id, fingerprint FROM prev) p FULL JOIN (SELECT 'local:' || substr(document_id, 7, 1) || '/' || substr(document_id, 7) AS document_id, fingerprint FROM cur) c ON p.document_id = c.document_id WHERE c.document_id IS NULL OR p.document_id IS NULL OR p.fingerprint <> c.fingerprint UNION ALL SELECT NULL, 'pathUnavailable'")
+def cdc_shielded(spark: SparkSession, sf: str) -> DataFrame:
+    """Files under a folder that can't be read aren't deleted."""
+    nested = F.concat(F.lit("local:"), F.substring("document_id", 7, 1), F.lit("/"), F.expr("substr(document_id, 7)"))
+    prev, cur = (s.withColumn("document_id", nested) for s in _states(spark, sf))
+    return files.changes(prev, cur, [("1", "denied")]).select("document_id", "op")
+
+
+@register(_VIEW + "SELECT (SELECT count(*) FROM o WHERE cluster_id = 'en') AS documents, (SELECT count(*) FROM v WHERE label = 1) AS embeddings, (SELECT count(*) FROM l WHERE toxic = 1) AS toxic")
+def count_predicate(spark: SparkSession, sf: str) -> DataFrame:
+    a = objects(spark, sf).agg(F.count_if(F.col("cluster_id") == "en").alias("documents"))
+    b = _vectors(spark, sf).agg(F.count_if(F.col("label") == 1).alias("embeddings"))
+    return a.crossJoin(b).crossJoin(_labels(spark, sf).agg(F.count_if(F.col("toxic") == 1).alias("toxic")))
+
+
+@register(_VIEW + "SELECT 'space-' || label AS embedding_space_id, count(*) AS n FROM v WHERE EXISTS (SELECT 1 FROM o WHERE o.document_id = v.document_id) GROUP BY ALL")
+def group_count_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    c = objects(spark, sf).select(F.col("document_id").alias("chunk_id"), F.lit(True).alias("active"))
+    v = _vectors(spark, sf).select(F.col("document_id").alias("chunk_id"), F.concat(F.lit("space-"), F.col("label").cast("string")).alias("embedding_space_id"))
+    return B.coverage(c, v)
+
+
+@register("SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases, count(CASE WHEN value IS NULL THEN 1 END) AS missing, count(*) AS n FROM events GROUP BY user_id")
+def cond_count(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_if(F.col("value").isNull()).alias("missing"), F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT coalesce(max(CASE WHEN event_type = 'never' THEN event_id END), 0) AS version, coalesce(max(event_id), 0) AS last FROM events")
+def max_coalesce(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.agg(F.coalesce(F.max(F.when(F.col("event_type") == "never", F.col("event_id"))), F.lit(0)).alias("version"), F.coalesce(F.max("event_id"), F.lit(0)).alias("last"))
+
+
+@register("SELECT DISTINCT 'source_id' AS facet, source AS value FROM documents WHERE source <> '' UNION ALL SELECT DISTINCT 'content_type', lang FROM documents WHERE lang <> ''")
+def distinct_facets(spark: SparkSession, sf: str) -> DataFrame:
+    return B.facets(_documents(spark, sf))
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as the browser knows them; times derive from the numbers."""
+    o = objects(spark, sf)
+    return o.select("document_id", "title", "source_id", "source_uri", "cluster_id", F.col("cluster_id").alias("content_type"), F.octet_length(F.coalesce("body", F.lit(""))).cast("bigint").alias("size"), (F.col("doc_id") % 97).cast("double").alias("ingested_at"), (F.col("doc_id") % 89).cast("double").alias("modified_at"), F.lit(False).alias("is_deleted"), "doc_id")
+
+
+def _browse_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks(spark, sf).select("document_id", "chunk_id", F.lit(True).alias("active"), F.concat(F.lit("p"), (F.col("ordinal") % 3).cast("string")).alias("policy_id"), F.col("ordinal").cast("double").alias("created_at"))
+
+
+_BROWSE = (
+    CHUNKS
+    + """, per AS (SELECT document_id, count(*) AS n, arg_max(ordinal % 3, ordinal) AS policy FROM ck GROUP BY document_id),
+docs AS (SELECT o.document_id, o.title, o.source_id, o.cluster_id, o.source_uri, CAST(strlen(coalesce(o.body, '')) AS BIGINT) AS size, CAST(doc_id % 97 AS DOUBLE) AS ingested_at, CAST(doc_id % 89 AS DOUBLE) AS modified_at,
+  coalesce(n, 0) AS active_chunk_count, 'p' || policy AS policy_id FROM o LEFT JOIN per USING (document_id))"""
+)
+
+
+@register(_BROWSE + "SELECT document_id, active_chunk_count, policy_id FROM docs")
+def scalar_count_per_doc(spark: SparkSession, sf: str) -> DataFrame:
+    return B.summaries(_documents(spark, sf), _browse_chunks(spark, sf)).select("document_id", "active_chunk_count", "policy_id")
+
+
+_KEYS = {"ingestedAt": "ingested_at", "modifiedAt": "modified_at", "title": ASCII_LOWER.format("title"), "size": "size", "chunkCount": "active_chunk_count"}
+
+
+def _order_sql(sort: str) -> str:
+    name = sort.removesuffix("Descending").removesuffix("Ascending")
+    return f"{_KEYS[name]} {'DESC NULLS LAST' if sort.endswith('Descending') else 'ASC NULLS FIRST'}, document_id"
+
+
+@register(_BROWSE + " UNION ALL ".join(f"SELECT '{s}' AS sort, document_id, row_number() OVER (ORDER BY {_order_sql(s)}) AS position FROM docs" for s in B.ORDERS))
+def sort_orders_10(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in each of the ten orders: a range-partitioned sort, then counts of the partitions before."""
+    rows = written(B.summaries(_documents(spark, sf), _browse_chunks(spark, sf)))
+    out = None
+    for s in B.ORDERS:
+        placed = positions(B.ordered(rows, s)).select(F.lit(s).alias("sort"), "document_id", "position")
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def positions(ordered: DataFrame) -> DataFrame:
+    """ordered with position from 1; the rows aren't brought together for it."""
+    own = cut(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = {r["_p"]: r["count"] for r in own.groupBy("_p").count().collect()}  # one row a partition
+    start, at = {}, 0
+    for p in sorted(sizes):
+        start[p], at = at, at + sizes[p]
+    shift = F.create_map(*[F.lit(x).cast("bigint") for p, s in start.items() for x in (p, s)]) if start else F.create_map(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    local = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    return own.withColumn("position", shift[F.col("_p").cast("bigint")] + local + 1).drop("_p", "_i")
+
+
+@register("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25 OFFSET 100")
+def limit_offset_page(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").offset(100).limit(25).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@register(_BROWSE + f"SELECT document_id, title, source_id, cluster_id, size, active_chunk_count, policy_id FROM docs WHERE contains(title, 'document 1') AND cluster_id = 'en' AND source_id IN ('src1', 'src2', 'src3', 'src4') ORDER BY {_order_sql('sizeDescending')} LIMIT 20 OFFSET 2")
+def browse_page(spark: SparkSession, sf: str) -> DataFrame:
+    request = B.BrowseRequest("DOCUMENT 1", "en", ("src1", "src2", "src3", "src4"), sort="sizeDescending", limit=20, offset=2)
+    return B.page(_documents(spark, sf), _browse_chunks(spark, sf), request).select("document_id", "title", "source_id", "cluster_id", "size", "active_chunk_count", "policy_id")
+
+
+@register("SELECT count(*) AS total FROM documents WHERE contains('document ' || doc_id, 'document 1') AND lang = 'en'")
+def browse_total(spark: SparkSession, sf: str) -> DataFrame:
+    request = B.BrowseRequest("document 1", "en")
+    return B.filtered(_documents(spark, sf), _browse_chunks(spark, sf), request).agg(F.count(F.lit(1)).alias("total"))
+
+
+@register("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    return B.latest(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id"], [F.col("event_id")])
+
+
+@register("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def percentile_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return B.percentiles(table(spark, sf, "events"), "value", ["event_type"])
+
+
+# Writes
+
+_OLD_NEW = "WITH old AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_nationkey < 15), new AS (SELECT c_custkey AS id, c_name || '!' AS name, c_acctbal + 1 AS balance FROM customer WHERE c_nationkey >= 10) "
+
+
+def _old_new(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf, "customer")
+    old = c.where("c_nationkey < 15").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return old, c.where("c_nationkey >= 10").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("!")).alias("name"), (F.col("c_acctbal") + 1).alias("balance"))
+
+
+@register(_OLD_NEW + "SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)")
+def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return M.merge(*_old_new(spark, sf), ["id"])
+
+
+@register(_OLD_NEW + "SELECT * FROM old UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)")
+def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    return M.insert_ignore(*_old_new(spark, sf), ["id"])
+
+
+@register("SELECT o_orderkey, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY o_orderkey")
+def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers go, then their orders, then the orders' lines."""
+    gone = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    orders = M.delete_keys(table(spark, sf, "orders"), gone, ["o_custkey"])
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
+    return orders.join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines"))
+
+
+@register("SELECT 'doc-' || doc_id AS document_id, doc_id % 4 = 0 AS is_deleted FROM documents")
+def soft_delete(spark: SparkSession, sf: str) -> DataFrame:
+    d = _documents(spark, sf)
+    return M.soft_delete(d, d.where("doc_id % 4 = 0").select("document_id")).select("document_id", "is_deleted")
+
+
+_VERSIONS = "WITH old AS (SELECT c_custkey AS id, c_mktsegment AS hash, CAST(c_nationkey + 1 AS BIGINT) AS version FROM customer WHERE c_nationkey < 20), new AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'NEW' ELSE c_mktsegment END AS hash FROM customer WHERE c_nationkey > 5) "
+
+
+@register(_VERSIONS + "SELECT 'c-' || new.id AS document_id, coalesce(version + CASE WHEN old.hash <> new.hash THEN 1 ELSE 0 END, 1) AS version, CASE WHEN version IS NULL THEN 9.0 ELSE 1.0 END::DOUBLE AS created_at FROM new LEFT JOIN old ON old.id = new.id")
+def version_bump(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").withColumn("document_id", F.concat(F.lit("c-"), F.col("c_custkey").cast("string")))
+    old = c.where("c_nationkey < 20").select("document_id", F.col("c_mktsegment").alias("content_hash"), (F.col("c_nationkey") + 1).cast("bigint").alias("version"), F.lit(1.0).alias("created_at"))
+    new = c.where("c_nationkey > 5").select("document_id", F.when(F.col("c_acctbal") > 5000, "NEW").otherwise(F.col("c_mktsegment")).alias("content_hash"))
+    return M.next_documents(old, new, F.lit(9.0)).select("document_id", "version", "created_at")
+
+
+def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """First chunks of documents, and their stored vectors; some are of another model or space."""
+    c = _documents(spark, sf).select(F.concat("document_id", F.lit("#0")).alias("chunk_id"), "document_id", F.lit(True).alias("active"), F.when(F.col("doc_id") % 10 == 0, "image").otherwise("text").alias("modality"))
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string"), F.lit("#0")).alias("chunk_id"), F.when(F.col("label") == 9, "other:64").otherwise("synthetic:64").alias("embedding_space_id"), F.lit(64).alias("dimension"), F.lit("text").alias("modality"), F.lit("document").alias("prompt_kind"), F.when(F.col("label") == 8, "old").otherwise("synthetic").alias("model_id"), F.lit("spark-exact:1").alias("backend"), "embedding")
+    return c, e
+
+
+@register("SELECT 'doc-' || doc_id || '#0' AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label NOT IN (8, 9))")
+def embedding_cache_misses(spark: SparkSession, sf: str) -> DataFrame:
+    c, e = _stored(spark, sf)
+    return embedding.cache_misses(c, e, embedding.HashingEmbedder(64, "synthetic")).select("chunk_id")
+
+
+@register("SELECT count(CASE WHEN doc_id % 10 <> 0 THEN 1 END) AS rebuildable, count(CASE WHEN doc_id % 10 = 0 THEN 1 END) AS skipped FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 9)")
+def rebuild_missing(spark: SparkSession, sf: str) -> DataFrame:
+    c, e = _stored(spark, sf)
+    return M.missing_work(M.missing_embeddings(c, _documents(spark, sf), e, "synthetic:64"))
+
+
+@register("SELECT 'chunks' AS kept, count(*) AS n FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents) UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id IN (SELECT conv_id FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents) AND turn = 0) UNION ALL SELECT 'lineages', count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) UNION ALL SELECT 'versions', count(*) FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents)")
+def orphan_purge(spark: SparkSession, sf: str) -> DataFrame:
+    """Children in other tables whose parent document isn't there; vectors hang on first turns."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.when(F.col("turn") == 0, F.col("conv_id")).alias("chunk_id"))
+    kept = M.purge_orphans(d, table(spark, sf, "benchmark").select(F.col("item_id").alias("document_id")), table(spark, sf, "labels").select(F.col("doc_id").alias("document_id")), c, table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id")))
+    out = None
+    for name, rows in sorted(kept.items()):
+        own = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kept"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_JOB = "CASE event_type WHEN 'purchase' THEN 'running' WHEN 'view' THEN 'queued' ELSE 'succeeded' END"
+
+
+@register(f"SELECT event_id, CASE WHEN state IN ('queued', 'running') THEN 'failed' ELSE state END AS state, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE '' END AS message, CASE WHEN state IN ('queued', 'running') THEN 7.0 END::DOUBLE AS finished_at FROM (SELECT event_id, {_JOB} AS state FROM events)")
+def job_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", F.expr(_JOB).alias("state"), F.lit("").alias("message"), F.lit(None).cast("double").alias("finished_at"))
+    return M.recover_interrupted(e, F.lit(7.0)).select("event_id", "state", "message", "finished_at")
+
+
+@register("SELECT id, max(happened) AS happened, CASE WHEN max(r) > max(d) OR (max(r) IS NOT NULL AND max(d) IS NULL) OR max(r) = max(d) THEN 'recent' ELSE 'durable' END AS origin FROM (SELECT user_id AS id, event_id AS happened, CASE WHEN event_type <> 'view' THEN event_id END AS d, CASE WHEN event_type = 'view' OR event_id % 3 = 0 THEN event_id END AS r FROM events) GROUP BY id")
+def job_history_merge(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("updated_at"), "event_type")
+    durable = e.where("event_type <> 'view'").withColumn("origin", F.lit("durable"))
+    recent = e.where("event_type = 'view' OR updated_at % 3 = 0").withColumn("origin", F.lit("recent"))
+    return M.merged_history(durable, recent).select("id", F.col("updated_at").alias("happened"), "origin")
+
+
+@register("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def recent_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return M.recent_first(table(spark, sf, "events"), "ts", 50, "event_id").select("event_id", "event_type")
+
+
+@register("SELECT page_id FROM pages WHERE page_id IN (SELECT event_id FROM events WHERE event_type = 'error' OR value > 50)")
+def retry_failures(spark: SparkSession, sf: str) -> DataFrame:
+    failed = table(spark, sf, "events").where("event_type = 'error' OR value > 50").select(F.col("event_id").alias("source_uri"))
+    return M.retry_sources(failed, table(spark, sf, "pages").select("page_id", F.col("page_id").alias("source_uri"))).select("page_id")
+
+
+_FEED = "SELECT event_id AS seq, 'user-' || user_id AS document_id, CASE event_type WHEN 'view' THEN 'delete' WHEN 'click' THEN 'move' ELSE 'upsert' END AS op, value FROM events"
+
+
+def _feed(events: DataFrame) -> DataFrame:
+    op = F.when(F.col("event_type") == "view", "delete").when(F.col("event_type") == "click", "move").otherwise("upsert")
+    return events.select(F.col("event_id").alias("seq"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("document_id"), op.alias("op"), "value")
+
+
+@register(f"SELECT document_id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) AS n FROM ({_FEED})) WHERE n = 1 AND op = 'upsert'")
+def sync_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """What is there after a feed of upserts, deletes and moves."""
+    upserts, _ = sync.split(_feed(table(spark, sf, "events")))
+    return upserts.select("document_id", "seq", "value")
+
+
+@register(f"SELECT document_id, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) AS n FROM ({_FEED})) WHERE n = 1")
+def stream_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """The same feed as a stream that ends when its files are read, folded batch by batch into a table of last events."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf, "events").schema).format("parquet").load(f"{sf}/events.parquet*")
+    state: list[DataFrame] = []
+
+    def fold(rows: DataFrame, number: int) -> None:
+        own = rows if not state else state[-1].unionByName(rows)
+        state.append(written(B.latest(own, ["document_id"], [F.col("seq")])))
+
+    q = _feed(events).writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return state[-1].select("document_id", "seq", "op", "value") if state else _feed(table(spark, sf, "events")).limit(0)
+
+
+@register("SELECT p_brand AS policy_id, CASE WHEN count(CASE WHEN p_size > 45 THEN 1 END) = 0 THEN 'satisfied' ELSE 'quarantined' END AS status, count(DISTINCT CASE WHEN p_size > 45 THEN p_size END) AS n_missing FROM part GROUP BY p_brand")
+def policy_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("policy_id"), F.col("p_size").cast("string").alias("component"), "p_size")
+    policies = p.groupBy("policy_id").agg(F.collect_set("component").alias("required"))
+    out = M.resolve_policies(policies, p.where("p_size <= 45").select("component"))
+    return out.select("policy_id", "status", F.size("missing").cast("bigint").alias("n_missing"))
+
+
+# The order of turns in transcripts
+
+
+@register("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT - length(text) AS character_start FROM conversations")
+def running_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Running character offsets of pieces in order."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    n = F.length("text").cast("bigint")
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", "role", F.row_number().over(w).cast("bigint").alias("position"), (F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - n).alias("character_start"))
