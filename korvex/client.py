@@ -15,6 +15,7 @@ from korvex.operators import browse as B
 from korvex.operators import chunking, embedding
 from korvex.operators import maintain as M
 from korvex.operators import retrieval as R
+from korvex.plans.migrations import migrate
 from korvex.plans.store import Corpus
 from korvex.plans.util import written
 
@@ -34,6 +35,7 @@ class IndexClient:
         self.embedder = embedder or embedding.HashingEmbedder()
         self.stem = stem
         self.recent: list[dict] = []
+        migrate(self.corpus)
         jobs = self.corpus.read("jobs")
         if jobs.where(F.col("state").isin(*M.ACTIVE_STATES)).limit(1).count():  # a stop left them
             self.corpus.commit({"jobs": M.recover_interrupted(jobs, F.lit(time.time()))})
@@ -78,6 +80,8 @@ class IndexClient:
         if accepted:
             default_kind = F.concat("id", F.lit(":representation:"), representation_kind(F.col("content_type")))
             raw = good.withColumn("size", F.octet_length(F.coalesce("body", F.lit("")))).withColumn("representation_id", F.coalesce("representation_id", default_kind))
+            if "image" in self.embedder.modalities:
+                raw = raw.withColumn("modality", F.when(embedding.is_image(F.col("content_type"), F.col("source_uri")), "image").otherwise(F.col("modality")))
             new = written(chunking.with_ids(raw).withColumn("document_id", F.col("id")))
             ids = new.select("document_id")
             documents = M.next_documents(c.read("documents"), new.select("document_id", "type", "title", "source_id", "source_uri", "cluster_id", "content_type", "content_hash", F.col("size").cast("bigint").alias("size")), now)
@@ -94,6 +98,9 @@ class IndexClient:
             live = M.delete_keys(old, stale, ["chunk_id"])
             misses = embedding.cache_misses(fresh.where("modality = 'text'"), old, self.embedder)
             made = embedding.embed_chunks(misses, self.embedder)
+            if "image" in self.embedder.modalities:
+                images = fresh.where("modality = 'image'").join(new.select("document_id", "source_uri"), "document_id")
+                made = made.unionByName(embedding.embed_images(images, self.embedder))
             tables["embeddings"] = M.delete_keys(live, made.select("embedding_id"), ["embedding_id"]).unionByName(made)
         state = "failed" if failed and not accepted else "succeeded"
         tables["jobs"] = self._job("ingest", state, began, f"{accepted} accepted, {failed} failed")

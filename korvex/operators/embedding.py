@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -68,6 +68,20 @@ class HashingEmbedder:
         return run(tokens(text))
 
 
+def resolve(*makers: Callable[[], Embedder | None], dimension: int = DIMENSION) -> tuple[Embedder, list[str]]:
+    """The first embedder that can be made, the hashing one if none can, and why others couldn't."""
+    reasons = []
+    for make in makers:
+        try:
+            made = make()
+        except Exception as e:  # noqa: BLE001 - a model that can't be loaded is passed over
+            reasons.append(str(e))
+            continue
+        if made is not None:
+            return made, reasons
+    return HashingEmbedder(dimension), reasons
+
+
 def buckets(texts: DataFrame, id_col: str, text_col: str, dimension: int = DIMENSION) -> DataFrame:
     """(id, bucket, weight): the non-zero entries of the hashing vectors."""
 
@@ -104,7 +118,22 @@ def cache_misses(chunks: DataFrame, embeddings: DataFrame, embedder: Embedder, b
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, backend: str = "spark-exact:1") -> DataFrame:
     """Embedding rows of chunks."""
+    return _rows(chunks.select("chunk_id", "document_id", embedder.embed(F.col("text")).alias("embedding"), F.lit("text").alias("modality")), embedder, backend)
+
+
+def is_image(content_type: Column, source_uri: Column) -> Column:
+    """Whether a payload is an image file that an embedder of images can read."""
+    image = content_type.startswith("image/") | content_type.isin("public.image", "public.png", "public.jpeg", "public.tiff", "public.heic", "com.compuserve.gif")
+    return F.coalesce(image & source_uri.startswith("file:"), F.lit(False))
+
+
+def embed_images(chunks: DataFrame, embedder, backend: str = "spark-exact:1") -> DataFrame:
+    """Embedding rows of image documents' chunks (with source_uri): one vector a file, repeated for its chunks and never reused."""
+    vectors = chunks.select("document_id", "source_uri").distinct().select("document_id", embedder.embed_image(F.col("source_uri")).alias("embedding"))
+    return _rows(chunks.select("chunk_id", "document_id").join(vectors, "document_id").withColumn("modality", F.lit("image")), embedder, backend)
+
+
+def _rows(out: DataFrame, embedder: Embedder, backend: str) -> DataFrame:
     space = space_of(embedder)
-    out = chunks.select("chunk_id", "document_id", embedder.embed(F.col("text")).alias("embedding"))
     out = validated(out, embedder.dimension)
-    return out.select(F.concat("chunk_id", F.lit(f":embedding:{space}")).alias("embedding_id"), "chunk_id", "document_id", F.lit(space).alias("embedding_space_id"), F.lit(embedder.model_id).alias("model_id"), F.lit(embedder.dimension).cast("bigint").alias("dimension"), F.lit("text").alias("modality"), F.lit("document").alias("prompt_kind"), F.lit(backend).alias("backend"), "embedding")
+    return out.select(F.concat("chunk_id", F.lit(f":embedding:{space}")).alias("embedding_id"), "chunk_id", "document_id", F.lit(space).alias("embedding_space_id"), F.lit(embedder.model_id).alias("model_id"), F.lit(embedder.dimension).cast("bigint").alias("dimension"), "modality", F.lit("document").alias("prompt_kind"), F.lit(backend).alias("backend"), "embedding")

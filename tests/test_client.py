@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from korvex.client import EmbeddingSpaceMismatch, IndexClient
 from korvex.operators import browse as B
 from korvex.operators import retrieval as R
-from korvex.operators.embedding import HashingEmbedder
+from korvex.operators.embedding import HashingEmbedder, resolve
 from korvex.plans import diagnostics
 from korvex.plans.cursors import CursorStore
-from korvex.plans.store import Conflict, Corpus
+from korvex.plans.migrations import migrate
+from korvex.plans.store import SCHEMAS, Conflict, Corpus
 from korvex.workspace import Workspace
 
 PAYLOAD = "id string, type string, title string, body string, source_id string, cluster_id string, source_uri string"
@@ -119,6 +120,43 @@ def test_generations(spark, tmp_path):
     assert a.get("k") == "välue" and b.get("k") is None
 
 
+class Pictures(HashingEmbedder):
+    def embed_image(self, uri):
+        return F.transform(F.sequence(F.lit(1), F.lit(self.dimension)), lambda i: F.when(i == 1, 1.0).otherwise(0.0).cast("float"))
+
+
+def test_images_have_one_vector(spark, tmp_path):
+    c = IndexClient(spark, str(tmp_path / "i"), Pictures(4, "pics", modalities=("text", "image")))
+    rows = [("p", "public.png", "Picture", "word " * 900, "s", "c", "file:///p.png"), ("t", "public.plain-text", "T", "word", "s", "c", "file:///t.txt")]
+    c.ingest(payloads(spark, rows))
+    e = c.corpus.read("embeddings").orderBy("chunk_id").collect()
+    assert sum(r.modality == "image" and list(r.embedding) == [1, 0, 0, 0] for r in e) == 4 and sum(r.modality == "text" for r in e) == 1
+
+
+def test_resolving_an_embedder():
+    def broken():
+        raise OSError("no bundle")
+
+    own, reasons = resolve(broken, lambda: None, dimension=8)
+    assert own == HashingEmbedder(8) and reasons == ["no bundle"] and not own.is_model_backed
+    assert resolve(lambda: HashingEmbedder(3))[0].dimension == 3
+
+
+def test_migrations(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path / "old"))
+    empty = lambda n: spark.createDataFrame([], SCHEMAS[n])
+    row = lambda n, **v: spark.createDataFrame([tuple(v.get(f.name) for f in empty(n).schema)], empty(n).schema)
+    c.commit({
+        "migrations": spark.createDataFrame([(1, 0.0)], SCHEMAS["migrations"]),
+        "documents": row("documents", document_id="d", is_deleted=False),
+        "chunks": row("chunks", chunk_id="k", document_id="d", active=True).unionByName(row("chunks", chunk_id="x", document_id="gone", active=True)),
+        "embeddings": row("embeddings", embedding_id="1", chunk_id="k", modality="image").unionByName(row("embeddings", embedding_id="2", chunk_id="x")),
+    })
+    assert migrate(c) == [2, 3, 4, 5] and migrate(c) == []
+    assert [(r.chunk_id, r.modality) for r in c.read("chunks").collect()] == [("k", "image")]
+    assert [r.embedding_id for r in c.read("embeddings").collect()] == ["1"]
+
+
 def test_workspace(spark, tmp_path):
     w = Workspace(spark, str(tmp_path), lambda s, p: IndexClient(s, p, HashingEmbedder(64)))
     a, b = w.create(" Éins "), w.create("Zwei")
