@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from korvex.functions.text import NEWLINES, SPACES, fnv1a_hex, normalize, stable_hash
 
 SIZE, OVERLAP, CONTEXT, LEAST = 1600, 160, 120, 400
-CHUNKER, CHUNKER_VERSION = "indexengine.chunker.text-window", "1"
+CHUNKER, CHUNKER_VERSION = "text-window", "1"
 _BREAK = re.compile(f"[{NEWLINES}]")
 _TOKEN = re.compile(r"[^\W_]+")
 _SPANS = ["character_start", "character_end", "byte_start", "byte_end", "token_start", "token_end", "line_start", "line_end"]
@@ -123,7 +123,10 @@ def with_ids(objects: DataFrame) -> DataFrame:
     return out.withColumn("active_representation_id", F.concat("lineage_id", F.lit(":"), stable_hash(F.lit("representation"), F.col("body"))))
 
 
-def chunk_ids(chunks: DataFrame, lineage: str = "lineage_id", policy: str = "policy_id") -> DataFrame:
-    """chunks with chunk_id: it depends on lineage, policy, chunker and text, but not on the ordinal."""
-    h = stable_hash(F.col(lineage), F.col(policy), F.lit("1"), F.lit(CHUNKER), F.lit(CHUNKER_VERSION), F.col("occurrence"), F.col("content_hash"))
+def chunk_ids(chunks: DataFrame, lineage: str = "lineage_id", policy: str = "policy_id", chunker: str = CHUNKER, version: str = CHUNKER_VERSION) -> DataFrame:
+    """chunks with chunk_id: it depends on lineage, policy, chunker and text, but not on the ordinal.
+
+    chunker: the name that enters the hash; that of another store gives its ids.
+    """
+    h = stable_hash(F.col(lineage), F.col(policy), F.lit("1"), F.lit(chunker), F.lit(version), F.col("occurrence"), F.col("content_hash"))
     return chunks.withColumn("chunk_id", F.concat("document_id", F.lit(":chunk:"), h))
