@@ -75,3 +75,24 @@ def test_against_sql(spark, name):
 
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty, long and repeated texts, extra columns with names that stages use."""
+    prose = "Plain prose goes here, line by line, and ends well.\nAnother line of words follows the first one."
+    rows = [(i, f"{prose} Number {i} has {i * 7} of them, {'so ' * (i % 5)}it goes.", "en", f"s{i % 3}", 10) for i in range(40)]
+    rows += [(None, prose, None, None, None), (50, None, "en", "s1", None), (51, "", None, "s1", 0), (1, rows[1][1], "en", "s1", 10), (52, prose + " more." * 50_000, "en", None, 1), (53, prose + " more." * 50_000, "en", "s9", 1), (None, None, None, None, None)]
+    extra = "doc_id bigint, text string, lang string, source string, n_chars bigint, copies int, kx_gone string, fp bigint, `a.b` int, `KX_SIZE` int, bin int"
+    docs = spark.createDataFrame([(*r, 3, "g", 4, 5, 6, 7) for r in rows], extra)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(50, 0, 0), (None, 1, None), (7, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    n = docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{tmp_path}/{k}")
+        assert 0 < docs.count() <= n or k == 4, name
+    assert docs.columns == ["pack_id", "place", "doc_id", "piece", "begin", "length"]
