@@ -39,7 +39,7 @@ K = 10
 TABLES = 2
 RECALL = 0.97
 #: Vectors of a shard, about; queries that are compared with it at once.
-SHARD, BLOCK = 16384, 512
+SHARD, BLOCK = 4096, 512
 #: A slot's width in standard deviations of the projections, and the farthest slot's number.
 WIDTH, FARTHEST = 2.0, 5
 
@@ -52,7 +52,7 @@ class Hasher:
         rng = np.random.default_rng(seed)
         a = rng.standard_normal((tables, self.functions, dimension))
         self.a = a / np.linalg.norm(a, axis=2, keepdims=True) * math.sqrt(dimension)
-        self.width = WIDTH * (spread or 1.0)
+        self.width = WIDTH * (spread or 1.0) * math.sqrt(dimension)
         self.b = rng.random((tables, self.functions)) * self.width - self.a @ mean
         self.tables = tables
 
@@ -149,22 +149,34 @@ def _unpack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
 
 
-def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _augmented(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """x with its squared lengths and ones, so that one matrix product gives squared distances; the largest squared length."""
+    squares = (x * x).sum(axis=1)
+    return np.hstack([x, squares[:, None], np.ones((len(x), 1), np.float32)]), float(squares.max(initial=0))
+
+
+def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None, allowed: np.ndarray | None = None, augmented: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, id, distance) of the k nearest allowed rows of x within bound of each q; exact distances, ties to the smaller id."""
-    xs, qs = (x * x).sum(axis=1), (q * q).sum(axis=1)
-    d = qs[:, None] + xs[None] - 2 * (q @ x.T)
-    slack = 1e-5 * (qs[:, None] + xs.max(initial=0))
-    keep = q_ids[:, None] != ids[None]
+    wide, most = augmented or _augmented(x)
+    qs = (q * q).sum(axis=1)
+    d = np.hstack([-2 * q, np.ones((len(q), 1), np.float32), qs[:, None]]) @ wide.T
+    slack = 2e-5 * (qs + most)  # the product's rounding; what is kept is compared exactly below
+    limit = np.full(len(q), np.inf) if bound is None else bound**2
+    if not np.isfinite(limit).all() and d.shape[1] > k:
+        if allowed is not None:
+            d[~allowed] = np.inf
+        # One more than k, as a vector may lie among its own neighbours.
+        limit = np.minimum(limit, np.partition(d, k, axis=1)[:, k])
+    near = d <= (limit + slack).astype(np.float32)[:, None]
     if allowed is not None:
-        keep &= allowed
-    limit = bound[:, None] ** 2
-    if len(ids) > 4 * k:  # all that can be among the k nearest is not beyond the k-th
-        kth = np.partition(np.where(keep, d, np.inf), k - 1, axis=1)[:, k - 1 : k]
-        limit = np.minimum(limit, kth)
-    row, col = np.nonzero(keep & (d <= limit + 2 * slack))
+        near &= allowed
+    row, col = np.nonzero(near)
+    other = q_ids[row] != ids[col]
+    row, col = row[other], col[other]
     exact = np.sqrt(((q[row].astype(np.float64) - x[col]) ** 2).sum(axis=1))
-    inside = exact <= bound[row]
-    row, col, exact = row[inside], col[inside], exact[inside]
+    if bound is not None:
+        inside = exact <= bound[row]
+        row, col, exact = row[inside], col[inside], exact[inside]
     order = np.lexsort((ids[col], exact, row))
     row, col, exact = row[order], col[order], exact[order]
     place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
@@ -215,9 +227,10 @@ def _local(k: int):
     def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([p.column(2).to_numpy() for p in parts])
         x = np.concatenate([_unpack(p.column(3)) for p in parts])
+        wide = _augmented(x)
         for at in range(0, len(ids), BLOCK):
             q, own = x[at : at + BLOCK], ids[at : at + BLOCK]
-            row, near, d = nearest(q, own, x, ids, k, np.full(len(q), np.inf))
+            row, near, d = nearest(q, own, x, ids, k, augmented=wide)
             size = np.bincount(row, minlength=len(q))
             ends = np.cumsum(size)
             bound = np.full(len(q), np.inf)
@@ -288,14 +301,19 @@ def _probe(k: int):
                 bucket = np.concatenate([p.column(3).to_numpy() for p in held])
                 ids = np.concatenate([p.column(4).to_numpy() for p in held])
                 x = np.concatenate([_unpack(p.column(5)) for p in held])
+                wide, most = _augmented(x)
             for at in range(0, part.num_rows, BLOCK):
                 own = part.slice(at, BLOCK)
                 q_ids, q, bound = own.column(4).to_numpy(), _unpack(own.column(5)), own.column(6).to_numpy()
                 bits = own.column(7).to_pylist()
                 visits = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(bool)
-                cols = np.flatnonzero(visits.any(axis=0)[bucket])
-                if len(cols):
-                    row, near, d = nearest(q, q_ids, x[cols], ids[cols], k, bound, visits[:, bucket[cols]])
+                seen = visits.any(axis=0)[bucket]
+                if seen.all():
+                    row, near, d = nearest(q, q_ids, x, ids, k, bound, visits[:, bucket], (wide, most))
+                elif seen.any():
+                    cols = np.flatnonzero(seen)
+                    row, near, d = nearest(q, q_ids, x[cols], ids[cols], k, bound, visits[:, bucket[cols]], (wide[cols], most))
+                if seen.any():
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(near), pa.array(d)], ["id", "near", "distance"])
 
     return run
@@ -328,13 +346,15 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
     counts = rows.select("vec").mapInArrow(hashed, "t bigint, code bigint, n bigint").groupBy("t", "code").agg(F.sum("n").alias("n"))
     directory = Directory(hasher, [tuple(r) for r in counts.collect()], shard)  # the root of n rows, about
     near = rows.mapInArrow(_first(directory, dimension), "shard bigint, piece bigint, id bigint, vec binary")
-    near = near.repartition("shard", "piece").sortWithinPartitions("shard", "piece")
+    # A shard is one task's work; a number of partitions that is given isn't changed by Spark.
+    keys = int(directory.steps.sum())
+    near = near.repartition(max(1, -(-keys // tables)), "shard", "piece").sortWithinPartitions("shard", "piece")
     near = written(near.mapInArrow(_local(k), "id bigint, vec binary, bound double, near array<bigint>, distance array<double>"))
     found = near.select("id", F.explode(F.arrays_zip("near", "distance")).alias("z")).select("id", F.col("z.near").alias("near"), F.col("z.distance").alias("distance"))
-    if int(directory.steps.sum()) > tables:  # else every vector has seen all others
+    if keys > tables:  # else every vector has seen all others
         miss = (1 - recall) ** (1 / tables)
-        sharded = near.select("id", "vec", "bound").mapInArrow(_spread(directory, miss), _SHARDED)
-        sharded = sharded.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "kind", "bucket")
+        sharded = near.select("id", "vec", "bound").repartition(keys).mapInArrow(_spread(directory, miss), _SHARDED)
+        sharded = sharded.repartition(keys, "shard", "piece").sortWithinPartitions("shard", "piece", "kind", "bucket")
         found = found.unionByName(sharded.mapInArrow(_probe(k), "id bigint, near bigint, distance double"))
     # The k nearest distinct ones; a candidate of several tables has one distance.
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "near"))), 1, k).alias("best"))
