@@ -50,8 +50,19 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LE
 
 def chunk_text(text: str) -> list[tuple]:
     """(ordinal, text, hash, the spans, context before, context after) of each window."""
+    rows = spans_of(text)
+    return [(*r[:2], h, *r[2:]) for r, h in zip(rows, hashes([r[1] for r in rows]))]
+
+
+def hashes(texts: list[str]) -> list[str]:
+    """Content hashes of windows; quick for many at once."""
+    return fnv1a_hex([b"chunk\xff" + t.encode("utf-8", "surrogatepass") + b"\xff" for t in texts])
+
+
+def spans_of(text: str) -> list[tuple]:
+    """(ordinal, text, the spans, context before, context after) of each window."""
     if not text:
-        return [(0, "", fnv1a_hex([b"chunk\xff\xff"])[0], 0, 0, 0, 0, 0, 0, 1, 1, "", "")]
+        return [(0, "", 0, 0, 0, 0, 0, 0, 1, 1, "", "")]
     spans = list(windows(text))
     breaks = [m.start() for m in _BREAK.finditer(text)]
     starts, ends = [], []
@@ -60,7 +71,6 @@ def chunk_text(text: str) -> list[tuple]:
         ends.append(m.end())
     ascii_only = text.isascii()
     out, at, byte = [], 0, 0
-    hashes = fnv1a_hex([b"chunk\xff" + text[a:b].encode("utf-8", "surrogatepass") + b"\xff" for a, b in spans])
     for k, (a, b) in enumerate(spans):
         body = text[a:b]
         if ascii_only:
@@ -73,7 +83,7 @@ def chunk_text(text: str) -> list[tuple]:
         before = bisect_left(starts, a)
         own = bisect_left(starts, b) - bisect_right(ends, a)
         lines = bisect_left(breaks, a)
-        out.append((k, body, hashes[k], a, b, first, first + size, before, before + own, 1 + lines, 1 + bisect_left(breaks, b), text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]))
+        out.append((k, body, a, b, first, first + size, before, before + own, 1 + lines, 1 + bisect_left(breaks, b), text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]))
     return out
 
 
@@ -82,25 +92,26 @@ CHUNK_SCHEMA = "document_id string, ordinal bigint, text string, content_hash st
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, rows = [], []
-
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*rows))  # noqa: B023
-            arrays = [pa.array(ids), *[pa.array(c, t) for c, (_, t) in zip(cols, _COLUMNS)], pa.array(cols[-1], pa.int64())]  # noqa: B023
-            return pa.RecordBatch.from_arrays(arrays, ["document_id", *[n for n, _ in _COLUMNS], "occurrence"])
+    def out(ids: list, rows: list[tuple], seen: list[int]) -> pa.RecordBatch:
+        cols = list(zip(*rows))
+        cols.insert(2, hashes(list(cols[1])))
+        arrays = [pa.array(ids), *[pa.array(c, t) for c, (_, t) in zip(cols, _COLUMNS)], pa.array(seen, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["document_id", *[n for n, _ in _COLUMNS], "occurrence"])
 
+    ids, rows, seen = [], [], []
+    for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen: Counter = Counter()
-            for row in chunk_text(text.as_py() or ""):
+            equal: Counter = Counter()
+            for row in spans_of(text.as_py() or ""):
                 ids.append(i)
-                rows.append((*row, seen[row[2]]))
-                seen[row[2]] += 1
+                rows.append(row)
+                seen.append(equal[row[1]])
+                equal[row[1]] += 1
             if len(rows) > 4000:
-                yield out()
-                ids, rows = [], []
-        if rows:
-            yield out()
+                yield out(ids, rows, seen)
+                ids, rows, seen = [], [], []
+    if rows:
+        yield out(ids, rows, seen)
 
 
 def chunk(objects: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
