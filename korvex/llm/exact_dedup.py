@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korvex.plans.util import all_columns, cut, fresh, join_checked, quoted, table
@@ -179,9 +179,19 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     flagged, fp = _candidates(docs, "text", hash_col)
     flagged = flagged.where(F.col(fp).isNotNull())
-    # Bytes are compared here: the group key is the text itself.
-    groups = flagged.groupBy(fp, "text").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n"), F.collect_list("doc_id").alias("ids"))
-    return groups.where("n > 1").select(F.explode("ids").alias("doc_id"), "group_id")
+    # Bytes are compared here: the group key is the text itself, of which each task sends one copy on.
+    texts = flagged.groupBy(fp, "text").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    verified = cut(texts.groupBy(fp).agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min("group_id").alias("group_id")))
+    # Where all texts of a fingerprint are one, the fingerprint tells the group, however large.
+    keyed = docs.where("text IS NOT NULL").select("doc_id", (F.xxhash64("text") if hash_col is None else hash_col).alias(fp))
+    out = join_checked(keyed, verified.where("texts = 1 AND n > 1").select(fp, "group_id"), [fp], "inner", 32).select("doc_id", "group_id")
+    several = verified.where("texts > 1").select(fp)
+    if several.limit(1).count():
+        own = Window.partitionBy(fp, "text")
+        rest = join_checked(flagged, several, [fp], "left_semi", 24)
+        rest = rest.select("doc_id", F.min("doc_id").over(own).alias("group_id"), F.count(F.lit(1)).over(own).alias("n"))
+        out = out.unionByName(rest.where("n > 1").select("doc_id", "group_id"))
+    return out
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_col=None) -> DataFrame:
