@@ -4,7 +4,8 @@ Each of TABLES tables hashes a vector to the slots of a few Gaussian
 projections, floor((a . x + b) / w); equal slots are a bucket. The number of
 projections grows with the logarithm of the number of vectors, so that the
 directory of occupied buckets grows with its root; buckets that are next to
-each other in the directory share a shard of about SHARD vectors.
+each other in the directory share a shard, whose size grows with the root too
+(ROOTS times it, SHARD vectors at least), and so does the number of shards.
 
 First every vector is compared with the shard of its own bucket, which bounds
 the distance of its k-th neighbour. At that distance the projections of a
@@ -38,8 +39,8 @@ from korvex.plans.util import table, written
 K = 10
 TABLES = 2
 RECALL = 0.97
-#: Vectors of a shard, about; queries that are compared with it at once.
-SHARD, BLOCK = 4096, 512
+#: Vectors of a shard, at least, and as a multiple of the root of their number; queries that are compared with it at once.
+SHARD, ROOTS, BLOCK = 4096, 16, 512
 #: A slot's width in standard deviations of the projections, and the farthest slot's number.
 WIDTH, FARTHEST = 2.0, 5
 
@@ -319,7 +320,7 @@ def _probe(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, shard: int = SHARD) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, shard: int | None = None) -> DataFrame:
     """(vec_id, neighbour_id, distance, rank): the k nearest of every vector."""
     empty = vectors.sparkSession.createDataFrame([], "vec_id bigint, neighbour_id bigint, distance double, rank bigint")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
@@ -344,6 +345,7 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t)), pa.array(codes), pa.array(counts.astype(np.int64))], ["t", "code", "n"])
 
     counts = rows.select("vec").mapInArrow(hashed, "t bigint, code bigint, n bigint").groupBy("t", "code").agg(F.sum("n").alias("n"))
+    shard = shard or max(SHARD, int(ROOTS * math.sqrt(n)))
     directory = Directory(hasher, [tuple(r) for r in counts.collect()], shard)  # the root of n rows, about
     near = rows.mapInArrow(_first(directory, dimension), "shard bigint, piece bigint, id bigint, vec binary")
     # A shard is one task's work; a number of partitions that is given isn't changed by Spark.
