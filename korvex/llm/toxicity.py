@@ -8,8 +8,9 @@ stays close to "idiot". Landmarks give the Nyström features on which a linear
 support vector machine is trained with labelled sentences. Insults that
 resemble each other form a family; how often clean text has spans of a family
 is counted in training, and a document is toxic if clean text of its length
-would hardly have as many (CHANCE). One span that clean text never has is
-enough; one that also occurs by accident is not.
+would hardly have as many (CHANCE), of one family or of all together. A known
+insult itself, which clean text hardly has, is enough in a text of any length;
+a span that also occurs by accident is not.
 
 A sum over landmarks of kernels is linear in a span's subsequences, so the
 trained machine is folded, without approximation, into one table of weights by
@@ -56,6 +57,8 @@ MARGIN = 0.2
 CHANCE = 0.0003
 #: What a family that clean text never had counts for.
 UNSEEN = 0.1
+#: A toxic document's word is an insult if it has so many times the surroundings there that it has in as much clean text.
+RATIO = 25
 _SINGLES = re.compile(r"(?:(?<=\s)|^)[^\W\d_][\W_]+[^\W\d_][\W_]+[^\W\d_](?![^\W\d_])")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
@@ -159,6 +162,7 @@ class SpanMachine:
     def __init__(self, table: np.ndarray, bias: float):
         self.table, self.bias = table, bias
         self.marks: list[str] = []
+        self.sure: set[str] = set()
         self.family = np.zeros(0, np.int64)
         self.seen: list[tuple[np.ndarray, np.ndarray]] = []
         self.words = 1
@@ -231,8 +235,8 @@ class SpanMachine:
             hard = hard + more
         return machine
 
-    def calibrate(self, positive: list[str], clean: Counter, words: int) -> None:
-        """Groups insults that resemble each other, and counts what clean text has of each group."""
+    def calibrate(self, positive: list[str], bears: dict[str, float], clean: Counter, words: int) -> None:
+        """Groups insults that resemble each other, counts what clean text has of each group, and finds the insults that bear one more than that."""
         self.marks = positive
         if not positive:
             return
@@ -252,6 +256,10 @@ class SpanMachine:
             score, n = np.array([v for v, _ in own]), np.array([c for _, c in own], float)
             self.seen.append((score, np.append(np.cumsum(n[::-1])[::-1], 0.0)))
         self.words = max(1, words)
+        for s, v, f in zip(positive, self.scores(positive, True), self.family):
+            known, above = self.seen[f]
+            if bears[s] > above[np.searchsorted(known, v - 1e-6)] + 1:
+                self.sure.add(s)
 
     def rate(self, family: int, score: float) -> float:
         """How often, in a word of clean text, the family has a span that scores so high."""
@@ -259,12 +267,15 @@ class SpanMachine:
         return (above[np.searchsorted(known, score - 1e-6)] + UNSEEN) / self.words
 
     def surprise(self, hits: list[tuple[int, float]], words: int) -> float:
-        """Minus the logarithm of the chance that clean text of so many words has the spans (family, score) of the most telling family."""
+        """Minus the logarithm of the chance that clean text of so many words has the spans (family, score) of the most telling family, or all of them."""
         best = 0.0
         for f in {h[0] for h in hits}:
             own = sorted((v for g, v in hits if g == f), reverse=True)
             for k in {j for j in range(len(own)) if j + 1 == len(own) or own[j + 1] < own[j]}:
                 best = max(best, -math.log(max(tail(k + 1, words * self.rate(f, own[k])), 1e-300)))
+        rates = sorted(self.rate(*h) for h in hits)
+        for k in {j for j in range(len(rates)) if j + 1 == len(rates) or rates[j + 1] > rates[j]}:  # no family has spans as rare more often
+            best = max(best, -math.log(max(tail(k + 1, words * rates[k] * len(self.seen)), 1e-300)))
         return best
 
     def families(self, spans: list[str]) -> np.ndarray:
@@ -313,8 +324,8 @@ def _places(text: str | None) -> Iterator[tuple[list[str], int]]:
             yield windows(s), hash(sentence)
 
 
-def labelled_spans(texts: list[str], toxic: list[bool]) -> tuple[list[str], Counter, int]:
-    """Insults of toxic sentences, how often clean text has which spans, and its number of words."""
+def labelled_spans(texts: list[str], toxic: list[bool]) -> tuple[list[str], dict[str, float], Counter, int]:
+    """Insults of toxic sentences, how many occurrences in clean text each bears, how often clean text has which spans, and its number of words."""
     n, total = max(1, sum(toxic)), 0
     around = defaultdict(set)
     for text, bad in zip(texts, toxic):
@@ -336,8 +347,8 @@ def labelled_spans(texts: list[str], toxic: list[bool]) -> tuple[list[str], Coun
                     if s in elsewhere:
                         elsewhere[s].add(place)
     share = n / max(1, len(toxic) - n)
-    marks = [s for s, places in around.items() if places > 25 * share * len(elsewhere[s])]
-    return sorted(marks, key=lambda s: (-around[s], s)), clean, total
+    marks = [s for s, places in around.items() if places > RATIO * share * len(elsewhere[s])]
+    return sorted(marks, key=lambda s: (-around[s], s)), {s: around[s] / (RATIO * share) for s in marks}, clean, total
 
 
 class TextScorer:
@@ -347,6 +358,7 @@ class TextScorer:
         self.machine = machine
         self.known: set[str] = set()
         self.bad: dict[str, tuple[int, float]] = {}
+        self.sure: set[str] = set()
 
     def _learn(self, words: list[str]) -> None:
         parts = [spans_of_word(w) for w in words]
@@ -356,7 +368,9 @@ class TextScorer:
         for w, p in zip(words, parts):
             if p:
                 k = int(scores[at : at + len(p)].argmax())
-                if scores[at + k] > MARGIN:
+                if not self.machine.sure.isdisjoint(p):
+                    self.sure.add(w)
+                if scores[at + k] > MARGIN or w in self.sure:
                     self.bad[w] = (int(self.machine.families([p[k]])[0]), float(scores[at + k]))
                 at += len(p)
         self.known.update(words)
@@ -367,21 +381,26 @@ class TextScorer:
         every = set().union(*lowered) if lowered else set()
         new = every - self.known
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.bad = set(), {}
+            self.known, self.bad, self.sure = set(), {}, set()
             new = every
         self._learn(list(new))
         out = []
         for text, words in zip(texts, lowered):
             hits = [(w, *self.bad[w]) for w in words if w in self.bad] if not self.bad.keys().isdisjoint(words) else []
+            sure = any(h[0] in self.sure for h in hits)
             joined = runs(text.lower()) if text and _SINGLES.search(text) else []
             if joined:
                 for run in joined:  # a run is one hit, by its worst window
                     own = windows(run)
                     scores = self.machine.scores(own)
                     k = int(scores.argmax())
-                    if scores[k] > MARGIN:
+                    own_sure = not self.machine.sure.isdisjoint(own)
+                    sure = sure or own_sure
+                    if scores[k] > MARGIN or own_sure:
                         hits.append((own[k], int(self.machine.families([own[k]])[0]), float(scores[k])))
             best = self.machine.surprise([h[1:] for h in hits], len(words)) if hits else 0.0
+            if sure:
+                best = max(best, 1 - math.log(CHANCE))
             out.append((best, min(hits, key=lambda h: (-h[2], h[0]))[0]) if best > -math.log(CHANCE) else None)
         return out
 
@@ -400,9 +419,9 @@ def _flag(machine: SpanMachine):
 
 
 def fit(texts: list[str], toxic: list[bool]) -> SpanMachine:
-    marks, clean, words = labelled_spans(texts, toxic)
+    marks, bears, clean, words = labelled_spans(texts, toxic)
     machine = SpanMachine.fit(marks, list(clean))
-    machine.calibrate(marks, clean, words)
+    machine.calibrate(marks, bears, clean, words)
     return machine
 
 

@@ -59,6 +59,17 @@ def test_held_out_precision_and_recall(labelled):
     assert all(toxicity.TextScorer(machine).judge(spaced))
 
 
+def test_length_and_label_sample_do_not_hide_insults():
+    insults = ["zorgface", "blumhead", "quackwit"]
+    toxic = [f"w{i} {insults[i % 3]} v{i}. calm words follow here" for i in range(60)]
+    clean = [f"calm words w{i} follow here, and v{i} rest. " * 5 for i in range(120)]
+    scorer = toxicity.TextScorer(toxicity.fit(toxic + clean, [True] * 60 + [False] * 120))
+    for n in (5_000, 20_000):
+        calm = "calm words follow here and rest. " * (n // 6)
+        assert scorer.judge([calm, calm + "you zorgface now", calm + "a z o r g f a c e here"])[0] is None
+        assert all(scorer.judge([calm + "you zorgface now", calm + "z o r g f a c e here", calm + " ".join(insults)]))
+
+
 def test_nulls_empties_repeats_and_names(spark):
     toxic = ["you {} zorgface {} now", "a {} zorgface {} again", "{} is a zorgface of {}"]
     rows = [(i, toxic[i % 3].format(f"w{i}", f"v{i}") + ". calm words follow here") for i in range(30)] + [(i, f"calm words w{i} follow here, and v{i} rest. " * 20) for i in range(30, 120)]
