@@ -149,30 +149,102 @@ def random_bytes(data: bytes) -> bool:
     return len(data) in _KEY_BYTES and len(set(data)) >= 0.6 * len(data) and not data.isascii()
 
 
+def confirm(text: str, begin: int, end: int) -> tuple[str, int] | None:
+    """The kind of secret that a candidate is, and where it ends; None if it is none."""
+    s = text[begin:end]
+    if s.isalpha() and "M" not in s and "b" not in s:  # no encoding that is looked for
+        return None
+    kind = None
+    if "." in s:
+        kind = signed_token(s)
+        if kind is None:
+            s = s[: s.index(".")]
+    if kind is None:
+        hexed = _HEX.fullmatch(s)
+        forms = [bytes.fromhex(s)] if hexed else []
+        if s[0] in "Mb" and (plain := unbase64(s)) is not None:
+            forms.append(plain)
+        kind = next((k for k in map(key_kind, forms) if k), None)
+        if kind is None and any(c.isdigit() for c in s) and _NAMED.search(text, max(0, begin - 48), begin):
+            data = bytes.fromhex(s) if hexed else unbase64(s)
+            if data is not None and random_bytes(data):
+                kind = "assigned_hex_token" if hexed else "assigned_base64_token"
+    return (kind, begin + len(s)) if kind else None
+
+
+def key_bytes(data: bytes) -> int | None:
+    """Bytes of the key encoding that data begins with, by its own lengths; None if data is too short for them."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at, left, counted = 15, 3, False  # cipher, key derivation, its options; then as many blocks as keys, and the private one
+        while left:
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            left -= 1
+            if not left and not counted:
+                keys, counted = int.from_bytes(data[at : at + 4], "big"), True
+                if not 1 <= keys <= 16:
+                    return None
+                at, left = at + 4, keys + 1
+        return at
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    n = data[1] & 127 if data[1] & 128 else 0
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1]) if n <= 4 else None
+
+
+def scan_lines(text: str, begin: int, end: int) -> tuple[list[tuple[str, int, int]], int]:
+    """(kind, begin, end) of the secrets of a run of lines, and where the scan goes on.
+
+    The last line may be no more than the first word of what follows, so
+    shorter runs and lines by themselves are tried where the whole is nothing.
+    """
+    run = text[begin:end]
+    starts = [begin, *(begin + m.end() for m in re.finditer("\n", run))]
+    lines = [x.rstrip("\r") for x in run.split("\n")]
+    total = [0]
+    for x in lines:
+        total.append(total[-1] + len(x.rstrip("=")))
+    number = {n: k for k, n in enumerate(total)}
+    ends = text.find("\n", end)
+    alone = not text[end : ends if ends >= 0 else len(text)].strip(" \t\r\"',;")
+    found, k = [], 0
+    while k < len(lines):
+        if lines[k][0] in "Mb":
+            # As many characters as the key's own lengths ask for; they have to end a line.
+            head = "".join(lines[k:]) if lines[k].startswith("b3Bl") else lines[k]
+            head = head.rstrip("=")
+            data = unbase64(head[: len(head) // 4 * 4])
+            size = key_bytes(data) if data else None
+            last = number.get(total[k] + -(-size * 4 // 3), 0) if size else 0
+            if last > k:
+                plain = unbase64("".join(lines[k:last]))
+                kind = key_kind(plain) if plain is not None else None
+                if kind:
+                    found.append((kind, starts[k], starts[last - 1] + len(lines[last - 1])))
+                    k = last
+                    continue
+        if k == len(lines) - 1:
+            return found, starts[k]
+        if k == 0 and alone and not _HEX.fullmatch(lines[0]) and (hit := confirm(text, begin, end)):
+            return [(hit[0], begin, hit[1])], end
+        if hit := confirm(text, starts[k], starts[k] + len(lines[k])):
+            found.append((hit[0], starts[k], hit[1]))
+        k += 1
+    return found, end
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, begin, end, digest) of the secrets of a text, in order."""
-    found = []
-    for m in _CANDIDATE.finditer(text) if text else ():
-        s = m.group()
-        if s.isalpha() and "M" not in s and "b" not in s:  # no encoding that is looked for
-            continue
-        kind = None
-        if "." in s:
-            kind = signed_token(s)
-            if kind is None:
-                s = s[: s.index(".")]
-        if kind is None:
-            hexed = _HEX.fullmatch(s)
-            forms = [bytes.fromhex(s)] if hexed else []
-            if s[0] in "Mb" and (plain := unbase64(s)) is not None:
-                forms.append(plain)
-            kind = next((k for k in map(key_kind, forms) if k), None)
-            if kind is None and any(c.isdigit() for c in s) and _NAMED.search(text, max(0, m.start() - 48), m.start()):
-                data = bytes.fromhex(s) if hexed else unbase64(s)
-                if data is not None and random_bytes(data):
-                    kind = "assigned_hex_token" if hexed else "assigned_base64_token"
-        if kind:
-            found.append((kind, m.start(), m.start() + len(s), hashlib.sha256(s.encode()).hexdigest()[:16]))
+    found, at = [], 0
+    while text and (m := _CANDIDATE.search(text, at)):
+        at = m.end()
+        if "\n" in m.group():
+            hits, at = scan_lines(text, *m.span())
+        else:
+            hit = confirm(text, *m.span())
+            hits = [(hit[0], m.start(), hit[1])] if hit else []
+        found += [(kind, begin, end, hashlib.sha256(text[begin:end].encode()).hexdigest()[:16]) for kind, begin, end in hits]
     return found
 
 

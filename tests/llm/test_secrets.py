@@ -78,6 +78,18 @@ def test_assigned_tokens():
     assert scan(f"digest {value}") == []
 
 
+@pytest.mark.parametrize("follows", ["DB_HOST=x", "Next line", "The fox", "and more\nlines", "Word", "A" * 50 + "\nrest"])
+@pytest.mark.parametrize("gap", ["\n", "\r\n"])
+def test_secrets_at_a_line_end(follows, gap):
+    value = bytes(range(128, 148)).hex()
+    key = b64(rsa()).rstrip("=")
+    for before, secret, kind in (("API_TOKEN=", value, "assigned_hex_token"), ("", key, "rsa_private_key"), ("", lines(key), "rsa_private_key"), ("", lines(b64(openssh()).rstrip("=")), "openssh_private_key"), ("C" * 44 + gap, key, "rsa_private_key")):
+        text = before + secret + gap + follows
+        assert [(k, text[a:b]) for k, a, b, _ in scan(text)] == [(kind, secret)]
+    text = f"token={value}{gap}{token('HS256', 32)} x"
+    assert [k for k, *_ in scan(text)] == ["assigned_hex_token", "signed_token_hs256"]
+
+
 def test_very_long_text_and_rows(spark):
     key = b64(rsa())
     rows = [(1, "x " * 500_000 + key), (1, key), (1, key), (2, None), (None, key), (3, "")]
