@@ -217,6 +217,13 @@ def vector_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return R.vector_channel(q, e.where("label = 3").select(F.col("vec_id").alias("chunk_id"), "embedding"), 10, 6).select(F.col("chunk_id").alias("vec_id"), "score", "rank")
 
 
+@register(f"SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({_DOT.format('v.embedding', 'q.embedding')}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format('v.embedding', 'q.embedding')}, 6) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE v.label = 3) WHERE rank <= 10")
+def vector_filtered_batch(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.vector_channel(q, e.where("label = 3").select(F.col("vec_id").alias("chunk_id"), "embedding"), 10, 6).select("query_id", F.col("chunk_id").alias("vec_id"), "score", "rank")
+
+
 # Keyword index
 
 _INDEXED = "text || chr(10) || title || chr(10) || source_uri"
