@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from korvex.plans.util import table
 
 _CANDIDATE = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*|={0,2})")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----((?:[A-Za-z0-9+/=\s\"',]|\\[nr])+)-----END ")
+_GAP = re.compile(r"(?:\\[nr]|[\s\"',])+")
 _NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|(?:api|access|private|auth|client|encryption|signing)[ _.-]?(?:key|token|secret))[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?$", re.IGNORECASE)
 _HEX = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 _SIGNATURE = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "ES256K": {64}, "ES384": {96}, "ES512": {132}, "EdDSA": {64, 114}}
@@ -234,17 +236,42 @@ def scan_lines(text: str, begin: int, end: int) -> tuple[list[tuple[str, int, in
     return found, end
 
 
+def marked(text: str) -> list[tuple[str, int, int]]:
+    """(kind, begin, end) of the keys between PEM marks, their lines joined over line ends (written out too), spaces and quotes."""
+    out = []
+    for m in _PEM.finditer(text) if "PRIVATE KEY-----" in text else ():
+        parts, at = [], m.start(1)
+        for gap in _GAP.finditer(text, *m.span(1)):
+            if gap.start() > at:
+                parts.append((at, gap.start()))
+            at = gap.end()
+        if at < m.end(1):
+            parts.append((at, m.end(1)))
+        plain = unbase64("".join(text[x:y] for x, y in parts))
+        kind = key_kind(plain) if plain else None
+        if kind:
+            out.append((kind, parts[0][0], parts[-1][1]))
+    return out
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, begin, end, digest) of the secrets of a text, in order."""
     found, at = [], 0
-    while text and (m := _CANDIDATE.search(text, at)):
-        at = m.end()
-        if "\n" in m.group():
-            hits, at = scan_lines(text, *m.span())
-        else:
-            hit = confirm(text, *m.span())
-            hits = [(hit[0], m.start(), hit[1])] if hit else []
-        found += [(kind, begin, end, hashlib.sha256(text[begin:end].encode()).hexdigest()[:16]) for kind, begin, end in hits]
+    if not text:
+        return found
+    for kind, begin, end in [*marked(text), (None, len(text), len(text))]:
+        hits = []
+        while m := _CANDIDATE.search(text, at, begin):
+            at = m.end()
+            if "\n" in m.group():
+                own, at = scan_lines(text, *m.span())
+                hits += own
+            elif hit := confirm(text, *m.span()):
+                hits.append((hit[0], m.start(), hit[1]))
+        if kind:
+            hits.append((kind, begin, end))
+            at = end
+        found += [(k, x, y, hashlib.sha256(text[x:y].encode()).hexdigest()[:16]) for k, x, y in hits]
     return found
 
 

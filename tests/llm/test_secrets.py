@@ -90,6 +90,14 @@ def test_secrets_at_a_line_end(follows, gap):
     assert [k for k, *_ in scan(text)] == ["assigned_hex_token", "signed_token_hs256"]
 
 
+@pytest.mark.parametrize("between", ["\n", "\r\n", "\\n", "\\r\\n", " ", "\n    ", '",\n  "', ""])
+def test_marked_keys_however_their_lines_are_joined(between):
+    key = lines(b64(rsa())).replace("\n", between)
+    text = f"key: -----BEGIN RSA PRIVATE KEY-----{between}{key}{between}-----END RSA PRIVATE KEY-----{between}more" * 2
+    assert [(k, text[a:b]) for k, a, b, _ in scan(text)] == [("rsa_private_key", key)] * 2
+    assert scan(text.replace("MII", "MIJ")) == [] and scan(text.replace("PRIVATE", "PUBLIC").replace(key, lines(b64(PUBLIC)))) == []
+
+
 def test_very_long_text_and_rows(spark):
     key = b64(rsa())
     rows = [(1, "x " * 500_000 + key), (1, key), (1, key), (2, None), (None, key), (3, "")]
