@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,7 @@ def session(app: str = "korvex", cpus: int | str = "*", partitions: int = 8, mem
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -34,29 +38,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where it names none and runs locally."""
+    """The shared folder that the session names; a folder of our own only where it names none and one machine runs all (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
         return named
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="korvex-checkpoint-")
     sc.setCheckpointDir(own)
     return own
 
 
+#: Folders that written() made, until release() or a scratch() deletes them.
+_written: list[str] = []
+
+
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that written() made; results that still read them are lost."""
+    while len(_written) > since:
+        remove(spark, _written.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is deleted in the end: for steps whose result is stored elsewhere by then."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there; computed once, and safe against lost executors."""
+    """df written to the shared checkpoint folder and read from there; computed once, and safe against lost executors.
+
+    Spark deletes the files with the last reference (session() asks for that).
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like cut(), as compressed Parquet: for wide or textual intermediate tables."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """Like cut(), as compressed Parquet: for wide or textual intermediate tables, which stay until release()."""
+    path = folder(df.sparkSession, "table")
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
