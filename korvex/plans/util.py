@@ -99,6 +99,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores where it is a scan of fewer files than those: for passes that are dear per row.
+
+    Large tables have more splits than there are cores and stay as they are.
+    """
+    qe = df._jdf.queryExecution()
+    if re.search("Exchange|Adaptive|InMemory", qe.executedPlan().toString()):
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if qe.toRdd().getNumPartitions() >= n else df.repartition(n)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it, that no column of df has (column names ignore case)."""
     taken = {c.lower() for c in df.columns}
