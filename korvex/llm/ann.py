@@ -7,40 +7,48 @@ directory of occupied buckets grows with its root; buckets that are next to
 each other in the directory share a shard, whose size grows with the root too
 (ROOTS times it, SHARD vectors at least), and so does the number of shards.
 
-First every vector is compared with the shard of its own bucket, which bounds
-the distance of its k-th neighbour. At that distance the projections of a
-neighbour spread normally around the vector's own, so every occupied bucket has
-an estimated chance to hold it: the perturbed buckets are visited in that
-order, until the chance that all tables miss a neighbour is 1 - RECALL. Only
-vectors within the bound leave a shard, where they get exact distances; the
-tables' candidates are merged and the k nearest stay. The visits adapt to the
-vector: few in clusters, up to all buckets where all distances are alike, so no
-cap drops a candidate.
+Buckets around a query are enumerated by a heap over the perturbations of its
+slots, in the order of their estimated chance to hold a neighbour. A pilot
+visits buckets of the first table until they have PILOT vectors for each
+neighbour that is asked for, which bounds the distance of the k-th. At that
+distance the projections of a neighbour spread normally around the query's own,
+which gives the chances: buckets are visited until all tables miss a neighbour
+with a chance of 1 - RECALL. Only vectors within the bound leave a shard, where
+they get exact distances; the tables' candidates are merged and the k nearest
+stay. The visits adapt to the query: few in clusters, up to all buckets where
+all distances are alike, so no cap drops a candidate, and they are made in the
+same way for any number of vectors.
 
 Defined results: rows with a null id or a vector that is null, empty, has a
 null or a number that isn't finite, or another length than most have (the
 largest one of ties) are ignored; of rows that repeat an id the smallest vector
 counts; a vector is no neighbour of its own id, but others that equal it are;
-ties go to the smaller id; with fewer than k others there are fewer rows.
+ties go to the smaller id; with fewer than k others there are fewer rows; ids
+may have any type that sorts; other columns may have any names; no rows in give
+no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvex.plans.util import table, written
+from korvex.llm.ids import dtype, named, numbered
+from korvex.plans.util import fresh, quoted, spread, table, written
 
 K = 10
 TABLES = 2
 RECALL = 0.97
 #: Vectors of a shard, at least, and as a multiple of the root of their number; queries that are compared with it at once.
 SHARD, ROOTS, BLOCK = 4096, 16, 512
+#: Vectors that the pilot compares for each neighbour that is asked for, at least.
+PILOT = 32
 #: A slot's width in standard deviations of the projections, and the farthest slot's number.
 WIDTH, FARTHEST = 2.0, 5
 
@@ -79,15 +87,14 @@ def _phi(x: np.ndarray) -> np.ndarray:
 
 
 class Directory:
-    """The occupied buckets of each table and the shards that hold them."""
+    """The occupied buckets of each table, how many vectors they have, and the shards that hold them."""
 
     def __init__(self, hasher: Hasher, counts: list[tuple[int, int, int]], shard: int):
         self.hasher = hasher
-        self.codes, self.shard, self.pieces, self.local = [], [], {}, []
+        self.codes, self.size, self.shard, self.pieces, self.local, self.width = [], [], [], {}, [], {}
         key = 0
         for t in range(hasher.tables):
             own = sorted((c, n) for u, c, n in counts if u == t)
-            codes = np.array([c for c, _ in own], np.int64)
             shards, local = [], []
             held, first = 0, 0
             for k, (_, n) in enumerate(own):
@@ -97,11 +104,14 @@ class Directory:
                 local.append(k - first)
                 held += n
                 self.pieces[key] = max(1, -(-held // (2 * shard)))
+                self.width[key] = k - first + 1
             key += 1
-            self.codes.append(codes)
+            self.codes.append(np.array([c for c, _ in own], np.int64))
+            self.size.append([n for _, n in own])
             self.shard.append(np.array(shards, np.int64))
             self.local.append(np.array(local, np.int64))
         self.steps = np.array([self.pieces.get(k, 1) for k in range(key)], np.int64)
+        self._place: list[dict[int, int]] = []
 
     def home(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """The bucket (its place in the directory) and the shard of each vector."""
@@ -112,30 +122,63 @@ class Directory:
         """Which piece of its shard a vector lies in: shards of one very large bucket have several."""
         return (((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)) % self.steps[shard]
 
-    def visits(self, x: np.ndarray, radius: np.ndarray, t: int, miss: float) -> np.ndarray:
-        """[rows, buckets] buckets to visit: the likeliest ones, until the others hold a neighbour at radius with a chance of at most miss."""
+    def perturbed(self, x: np.ndarray, radius: np.ndarray, t: int) -> Iterator[Iterator[tuple[float, int]]]:
+        """For each vector: (chance, code) of the buckets around it, the likeliest to hold a neighbour at radius first."""
         h = self.hasher
-        slots = h.slots(self.codes[t])
-        at = h.places(x, t)
         edge = np.arange(-FARTHEST, FARTHEST + 2, dtype=np.float64)
         edge[0], edge[-1] = -1e9, 1e9
-        sigma = np.maximum(np.where(np.isfinite(radius), radius, 1.0), 1e-9 * h.width) / h.width
-        below = _phi(np.clip((edge[None, None] - at[:, :, None]) / sigma[:, None, None], -40, 40))
-        inside = np.maximum(np.diff(below, axis=2), 1e-30)
-        chance = np.zeros((len(x), len(slots)))
-        for m in range(h.functions):
-            chance += np.log(inside[:, m])[:, slots[:, m]]
-        chance = np.exp(chance)
-        order = np.argsort(-chance, axis=1, kind="stable")
-        ranked = np.take_along_axis(chance, order, axis=1)
-        total = ranked.sum(axis=1, keepdims=True)
-        before = np.cumsum(ranked, axis=1) - ranked
-        out = np.zeros(chance.shape, bool)
-        np.put_along_axis(out, order, before < (1 - miss) * total, axis=1)
-        out[~np.isfinite(radius)] = True
+        sigma = np.maximum(np.where(np.isfinite(radius), radius, h.width), 1e-9 * h.width) / h.width
+        below = _phi(np.clip((edge[None, None] - h.places(x, t)[:, :, None]) / sigma[:, None, None], -40, 40))
+        inside = np.maximum(np.diff(below, axis=2), 0)
+        order = np.argsort(-inside, axis=2, kind="stable")
+        chance = np.take_along_axis(inside, order, axis=2)
+        step = (2 * FARTHEST + 1) ** np.arange(h.functions, dtype=np.int64)
+        code = order * step[None, :, None]
+        for c, s in zip(chance.tolist(), code.tolist()):
+            yield best_first(c, s)
+
+    def visits(self, x: np.ndarray, radius: np.ndarray, t: int, miss: float = 0.0, enough: int | None = None) -> list[list[int]]:
+        """Occupied buckets to visit, in order: until the others hold a neighbour at radius with a chance of at most miss, or those visited have enough vectors."""
+        if not self._place:
+            self._place = [{int(c): k for k, c in enumerate(codes)} for codes in self.codes]
+        place, size, out = self._place[t], self.size[t], []
+        for row, r in zip(self.perturbed(x, radius, t), radius):
+            own, seen, held = [], 0.0, 0
+            if enough is None and not np.isfinite(r):  # fewer vectors than neighbours asked for
+                out.append(list(range(len(size))))
+                continue
+            for chance, code in row:
+                at = place.get(code)
+                if at is not None:
+                    own.append(at)
+                    held += size[at]
+                seen += chance
+                if held >= enough if enough is not None else seen >= 1 - miss:
+                    break
+            out.append(own)
         return out
 
 
+def best_first(chance: list[list[float]], code: list[list[int]]) -> Iterator[tuple[float, int]]:
+    """(product, sum) of one entry of each row of chance and code, the largest product first; rows fall, and each combination comes once.
+
+    A heap of combinations: one that was taken is followed by those that step
+    to the next entry in its last changed row or in a later one. Combinations
+    with no chance are left out.
+    """
+    rows = len(chance)
+    first = math.prod(c[0] for c in chance)
+    heap = [(-first, (0,) * rows, 0, sum(c[0] for c in code))]
+    while heap:
+        minus, at, last, total = heapq.heappop(heap)
+        yield -minus, total
+        for j in range(last, rows):
+            k = at[j]
+            row = chance[j]
+            if k + 1 < len(row) and row[k + 1] > 1e-12:
+                heapq.heappush(heap, (minus / row[k] * row[k + 1], (*at[:j], k + 1, *at[j + 1 :]), j, total - code[j][k] + code[j][k + 1]))
+
+
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     values = column.flatten()
     return np.asarray(values.to_numpy(zero_copy_only=False), np.float32).reshape(-1, dimension)
@@ -198,19 +241,6 @@ def _moments(dimension: int):
     return run
 
 
-def _first(directory: Directory, dimension: int):
-    """Rows (id, vec) to shards of the first table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dimension)
-                _, shard = directory.home(x, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(directory.piece(ids, shard)), pa.array(ids), _pack(x)], ["shard", "piece", "id", "vec"])
-
-    return run
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
     """Sorted batches cut where their first columns change, one piece at a time."""
     for batch in batches:
@@ -222,65 +252,59 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
             yield tuple(int(c[i]) for c in cols), batch.slice(i, j - i)
 
 
-def _local(k: int):
-    """Sorted (shard, piece, id, vec) to each vector's nearest in its own shard: (id, vec, bound, found ids, distances)."""
+_SHARDED = "shard bigint, piece bigint, kind int, bucket bigint, id bigint, vec binary, bound double, visits binary"
+_NAMES = [c.split()[0] for c in _SHARDED.split(", ")]
 
-    def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([p.column(2).to_numpy() for p in parts])
-        x = np.concatenate([_unpack(p.column(3)) for p in parts])
-        wide = _augmented(x)
-        for at in range(0, len(ids), BLOCK):
-            q, own = x[at : at + BLOCK], ids[at : at + BLOCK]
-            row, near, d = nearest(q, own, x, ids, k, augmented=wide)
-            size = np.bincount(row, minlength=len(q))
-            ends = np.cumsum(size)
-            bound = np.full(len(q), np.inf)
-            bound[size == k] = d[ends[size == k] - 1]
-            offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(own), _pack(q), pa.array(bound), pa.ListArray.from_arrays(offsets, pa.array(near)), pa.ListArray.from_arrays(offsets, pa.array(d))], ["id", "vec", "bound", "near", "distance"])
+
+def _index(directory: Directory, dimension: int, tables: int):
+    """Vectors (id, vec) to the rows (kind 0) of their shards in the first tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for own, part in _grouped(batches, 2):
-            if held and own != key:
-                yield from flush(held)
-                held = []
-            key = own
-            held.append(part)
-        if held:
-            yield from flush(held)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dimension)
+            packed = _pack(x)
+            for t in range(tables):
+                bucket, shard = directory.home(x, t)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(directory.piece(ids, shard)), pa.array(np.zeros(n, np.int32)), pa.array(directory.local[t][bucket]), pa.array(ids), packed, pa.nulls(n, pa.float64()), pa.nulls(n, pa.binary())], _NAMES)
 
     return run
 
 
-_SHARDED = "shard bigint, piece bigint, kind int, bucket bigint, id bigint, vec binary, bound double, visits binary"
+def _asked(directory: Directory, dimension: int, miss: float, enough: int, pilot: bool):
+    """Queries (id, vec, bound) to rows (kind 1) of the shards that they visit, with the buckets.
 
-
-def _spread(directory: Directory, miss: float):
-    """(id, vec, bound) to the rows of all tables' shards: vectors (kind 0) and queries (kind 1) with the buckets that they visit."""
-    names = ["shard", "piece", "kind", "bucket", "id", "vec", "bound", "visits"]
+    pilot: the buckets of the first table until they have enough vectors;
+    otherwise those of all tables that the chance asks for, without the former.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                ids, x, bound = batch.column(0).to_numpy(), _unpack(batch.column(1)), batch.column(2).to_numpy()
-                home = directory.home(x, 0)[1]
-                for t in range(directory.hasher.tables):
-                    bucket, shard = directory.home(x, t)
-                    local = directory.local[t][bucket]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(directory.piece(ids, shard)), pa.array(np.zeros(len(ids), np.int32)), pa.array(local), pa.array(ids), batch.column(1), pa.array(bound), pa.nulls(len(ids), pa.binary())], names)
-                    visits = directory.visits(x, bound, t, miss)
-                    for s in np.unique(directory.shard[t]):
-                        own = np.flatnonzero(directory.shard[t] == s)
-                        part = visits[:, own]
-                        for piece in range(directory.steps[s]):
-                            # A vector's own shard of the first table was searched whole.
-                            rows = np.flatnonzero(part.any(axis=1) & ((home != s) | (directory.piece(ids, s) != piece)))
-                            if len(rows):
-                                n = len(rows)
-                                bits = pa.array([b.tobytes() for b in np.packbits(part[rows], axis=1)], pa.binary())
-                                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s)), pa.array(np.full(n, piece)), pa.array(np.ones(n, np.int32)), pa.array(bucket[rows]), pa.array(ids[rows]), batch.column(1).take(pa.array(rows)), pa.array(bound[rows]), bits], names)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dimension)
+                bound = batch.column(2).to_numpy(zero_copy_only=False)
+                packed = _pack(x)
+                first = directory.visits(x, np.full(len(ids), np.inf), 0, enough=enough)
+                for t in range(1 if pilot else directory.hasher.tables):
+                    own = first if pilot else directory.visits(x, bound, t, miss)
+                    out: list[tuple] = []
+                    for r, places in enumerate(own):
+                        if not pilot and t == 0:
+                            places = np.setdiff1d(places, first[r])
+                        places = np.sort(np.asarray(places, np.int64))
+                        shards = directory.shard[t][places]
+                        for s in np.unique(shards):
+                            bits = np.zeros(directory.width[int(s)], np.uint8)
+                            bits[directory.local[t][places[shards == s]]] = 1
+                            mask = np.packbits(bits).tobytes()
+                            out += [(int(s), piece, r, int(places[0]), mask) for piece in range(int(directory.steps[s]))]
+                    if out:
+                        s, piece, r, bucket, mask = zip(*out)
+                        rows, n = np.array(r), len(out)
+                        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(piece, pa.int64()), pa.array(np.ones(n, np.int32)), pa.array(bucket, pa.int64()), pa.array(ids[rows]), packed.take(pa.array(rows)), pa.array(bound[rows]), pa.array(mask, pa.binary())], _NAMES)
 
     return run
 
@@ -308,6 +332,7 @@ def _probe(k: int):
                 q_ids, q, bound = own.column(4).to_numpy(), _unpack(own.column(5)), own.column(6).to_numpy()
                 bits = own.column(7).to_pylist()
                 visits = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(bool)
+                visits = visits[:, : int(bucket.max()) + 1]
                 seen = visits.any(axis=0)[bucket]
                 if seen.all():
                     row, near, d = nearest(q, q_ids, x, ids, k, bound, visits[:, bucket], (wide, most))
@@ -320,17 +345,19 @@ def _probe(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, shard: int | None = None) -> DataFrame:
-    """(vec_id, neighbour_id, distance, rank): the k nearest of every vector."""
-    empty = vectors.sparkSession.createDataFrame([], "vec_id bigint, neighbour_id bigint, distance double, rank bigint")
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", asked: Column | None = None, tables: int = TABLES, recall: float = RECALL, shard: int | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, distance, rank): among all vectors the k nearest of those that are asked for (a condition on vectors; None: of every one)."""
+    name = fresh(vectors, "kx_n")
+    rows, known = numbered(vectors, id_col, name)
+    rows = rows.select(F.col(name).alias("id"), quoted(vec_col).cast("array<float>").alias("vec"), (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asked"))
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).where(~bad)
     most = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if most is None:
-        return empty
+        kind = dtype(vectors, id_col)
+        return vectors.sparkSession.createDataFrame([], f"vec_id {kind}, neighbour_id {kind}, distance double, rank bigint")
     dimension = most.d
-    rows = written(rows.where(F.size("vec") == dimension).groupBy("id").agg(F.min("vec").alias("vec")))
+    rows = written(rows.where(F.size("vec") == dimension).groupBy("id").agg(F.min("vec").alias("vec"), F.bool_or("asked").alias("asked")))
     # Over all vectors: their number, mean, and spread around it.
     totals = dict(tuple(r) for r in rows.select("vec").mapInArrow(_moments(dimension), "at int, total double").groupBy("at").agg(F.sum("total")).collect())
     n, squares = int(totals[dimension]), totals[dimension + 1]
@@ -347,22 +374,31 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
     counts = rows.select("vec").mapInArrow(hashed, "t bigint, code bigint, n bigint").groupBy("t", "code").agg(F.sum("n").alias("n"))
     shard = shard or max(SHARD, int(ROOTS * math.sqrt(n)))
     directory = Directory(hasher, [tuple(r) for r in counts.collect()], shard)  # the root of n rows, about
-    near = rows.mapInArrow(_first(directory, dimension), "shard bigint, piece bigint, id bigint, vec binary")
-    # A shard is one task's work; a number of partitions that is given isn't changed by Spark.
     keys = int(directory.steps.sum())
-    near = near.repartition(max(1, -(-keys // tables)), "shard", "piece").sortWithinPartitions("shard", "piece")
-    near = written(near.mapInArrow(_local(k), "id bigint, vec binary, bound double, near array<bigint>, distance array<double>"))
-    found = near.select("id", F.explode(F.arrays_zip("near", "distance")).alias("z")).select("id", F.col("z.near").alias("near"), F.col("z.distance").alias("distance"))
-    if keys > tables:  # else every vector has seen all others
-        miss = (1 - recall) ** (1 / tables)
-        sharded = near.select("id", "vec", "bound").repartition(keys).mapInArrow(_spread(directory, miss), _SHARDED)
-        sharded = sharded.repartition(keys, "shard", "piece").sortWithinPartitions("shard", "piece", "kind", "bucket")
-        found = found.unionByName(sharded.mapInArrow(_probe(k), "id bigint, near bigint, distance double"))
+    enough, miss = PILOT * k, (1 - recall) ** (1 / tables)
+
+    def probed(queries: DataFrame, pilot: bool) -> DataFrame:
+        """Candidates (id, near, distance) of queries (id, vec, bound)."""
+        sharded = rows.select("id", "vec").mapInArrow(_index(directory, dimension, 1 if pilot else tables), _SHARDED)
+        sharded = sharded.unionByName(spread(queries.select("id", "vec", "bound")).mapInArrow(_asked(directory, dimension, miss, enough, pilot), _SHARDED))
+        # A shard is one task's work; a number of partitions that is given isn't changed by Spark.
+        sharded = sharded.repartition(max(1, keys // tables if pilot else keys), "shard", "piece").sortWithinPartitions("shard", "piece", "kind", "bucket")
+        return sharded.mapInArrow(_probe(k), "id bigint, near bigint, distance double")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "near"))), 1, k).alias("best"))
+
+    queries = rows.where("asked")
+    early = written(best(probed(queries.withColumn("bound", F.lit(float("inf"))), True)))
+    bound = early.where(F.size("best") == k).select("id", F.element_at("best", -1)["distance"].alias("bound"))
+    bounded = written(queries.join(bound, "id", "left").select("id", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound")))
+    found = early.select("id", F.explode("best").alias("b")).select("id", F.col("b.near").alias("near"), F.col("b.distance").alias("distance"))
     # The k nearest distinct ones; a candidate of several tables has one distance.
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "near"))), 1, k).alias("best"))
-    out = best.select("id", F.posexplode("best").alias("at", "b"))
-    return out.select(F.col("id").alias("vec_id"), F.col("b.near").alias("neighbour_id"), F.round("b.distance", 6).alias("distance"), (F.col("at") + 1).cast("bigint").alias("rank"))
+    out = best(found.unionByName(probed(bounded, False))).select("id", F.posexplode("best").alias("at", "b"))
+    out = out.select(F.col("id").alias("vec_id"), F.col("b.near").alias("neighbour_id"), F.round("b.distance", 6).alias("distance"), (F.col("at") + 1).cast("bigint").alias("rank"))
+    return named(out, known, ["vec_id", "neighbour_id"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(table(spark, sf_dir, "embeddings"))
+    """Every vector whose number can be divided by 50, against all vectors."""
+    return neighbours(table(spark, sf_dir, "embeddings"), asked=F.col("vec_id") % 50 == 0)

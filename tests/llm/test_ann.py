@@ -45,10 +45,24 @@ def test_recall_over_many_shards(spark, kind):
     assert recall(got, brute(x, 5)) >= 0.93
 
 
-def test_one_shard_is_exact(spark):
-    x = np.random.default_rng(2).standard_normal((120, 8))
-    got, want = result(ann.neighbours(frame(spark, x), k=4)), brute(x, 4)
-    assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for j, _ in v] for i, v in want.items()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_query_through_hashing_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    want = brute(np.array([r.embedding for r in rows]), ann.K)
+    got = result(ann.query(spark, f"/root/testdata/{sf}"))
+    assert [r.vec_id for r in rows] == list(range(len(rows))) and set(got) == set(range(0, len(rows), 50))
+    assert recall(got, {i: want[i] for i in got}) >= 0.9
+    assert all(dict(want[i]).get(j, d) == pytest.approx(d, abs=1e-6) for i in got for j, d in got[i])
+
+
+def test_perturbations_come_by_falling_chance_and_once():
+    rng = np.random.default_rng(6)
+    chance = -np.sort(-rng.random((4, 5)), axis=1)
+    code = rng.permutation(20).reshape(4, 5) * 100**0 + np.arange(4)[:, None] * 1000
+    got = list(ann.best_first(chance.tolist(), code.tolist()))
+    want = sorted((float(np.prod([chance[r, c[r]] for r in range(4)])), int(sum(code[r, c[r]] for r in range(4)))) for c in np.ndindex(5, 5, 5, 5))
+    assert len(got) == 625 and all(x[0] >= y[0] - 1e-12 for x, y in zip(got, got[1:]))
+    assert np.allclose(sorted(x[0] for x in got), [w[0] for w in want]) and sorted(x[1] for x in got) == sorted(w[1] for w in want)
 
 
 def test_clusters_visit_few_buckets():
@@ -57,7 +71,13 @@ def test_clusters_visit_few_buckets():
     h = ann.Hasher(16, 10**6, x.mean(axis=0), float(x.std()))
     counts = [(t, int(c), int(n)) for t in range(2) for c, n in zip(*np.unique(h.codes(x, t), return_counts=True))]
     visits = ann.Directory(h, counts, 100).visits(x[:200], np.full(200, 0.1), 0, 0.1)
-    assert visits.any(axis=1).all() and visits.mean() < 0.1
+    assert all(visits) and np.mean([len(v) for v in visits]) < 0.1 * len([c for c in counts if not c[0]])
+
+
+def test_text_ids(spark):
+    df = frame(spark, [[0.0], [1.0], [5.0], [5.5]]).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("vec_id"), "embedding", F.create_map(F.lit("a"), F.lit(1)).alias("kx_n"))
+    assert result(ann.neighbours(df, k=1, asked=F.col("vec_id") != "v0")) == {"v1": [("v0", 1.0)], "v2": [("v3", 0.5)], "v3": [("v2", 0.5)]}
+    assert dict(ann.neighbours(df.limit(0)).dtypes)["vec_id"] == "string"
 
 
 def test_ties_repeats_and_bad_rows(spark):
