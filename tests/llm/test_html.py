@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,10 +18,71 @@ CASES = [
     ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details><dialog>no</dialog>", "s\nt\nyes"),
     ("<pre>\n a\n   b  c\n</pre>after", " a\n   b  c\n\nafter"), ("<b>un<i>closed", "unclosed"), ("</p></div>x</b>", "x"), ("a < b and <3", "a < b and <3"), ("<head><title>t</title></head><body>b</body>", "b"),
     ("<table>loose<tr><td>in</table>", "loose\n\nin"), ("<textarea>t</textarea><input type=hidden value=no><input value=yes>", "tyes"), ("<p>caf&eacute; &#x41;&nbsp;b</p>", "café A\xa0b"),
-    ("<select><option>no</select>yes<noscript>no</noscript>", "yes"), ("<blockquote>q</blockquote>z", "  q\n\nz"), ("x<hr>y", "x\n\ny"),
+    ("yes<noscript>no</noscript><datalist><option>no</datalist>", "yes"), ("<select><option>no<option selected>two</select> and", "two and"), ("<select multiple><optgroup label=g><option>a<option>b</select>c", "g\na\nb\nc"), ("<svg><title>no</title><desc>no</desc><text>t<tspan>u</tspan></text><path d='M0'/></svg>v", "tu\nv"), ("<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math><map name=m>w</map>", "x=w"), ("<blockquote>q</blockquote>z", "  q\n\nz"), ("x<hr>y", "x\n\ny"),
+]
+
+
+STYLES = [
+    ("@media print{.a{display:none}}", True), ("@media screen{.a{display:none}}", False), ("@media (max-width:600px){.a{display:none}}", True), ("@media only screen and (min-width:600px){.a{display:none}}", False),
+    ("@media print{.b{color:red}} .a{display:none}", False), (".a{display:none} .a{display:block}", True), (".a{display:block} .a{display:none}", False), ("p.a{display:block} .a{display:none}", True), (".a{display:none!important} #i{display:block}", False),
+    ("#i{display:none} p{display:block}", False), (".x .a{display:none} .a:hover{display:none}", True), ("@import 'x'; .a{display:none", False), ("@supports (display:grid){.a{visibility:hidden}}", False), ("@font-face{font-family:x} @keyframes k{from{display:none}} p.a.c{display:none}", True), ("p[title].a{display:none}", True), ("p[id='i']{display:none}", False), ("/* .a{display:none} */", True), ("\"", True),
 ]
 
 
+@pytest.mark.parametrize("sheet, seen", STYLES)
+def test_style_rules(sheet, seen):
+    assert render(f"<style>{sheet}</style><p class='a b' id=i>seen</p>") == ("seen" if seen else "")
+
+
+def test_inline_styles_come_last_and_show_again():
+    page = "<style>.a{display:none} .v{visibility:hidden}</style>"
+    assert render(page + "<p class=a style='display:block'>x") == "x" and render(page + "<p class=v>no<b style='visibility:visible'>y</b>") == "y"
+    assert render("<style>[hidden]{color:red} .s{display:block}</style><p hidden class=s>x<p hidden>no") == "x"
+    assert render("<style media=print>p{display:none}</style><p>x") == "x"
+
+
+def visible_words(page):
+    """All words outside of head, scripts and styles, by another parser."""
+    words = []
+
+    class Words(HTMLParser):
+        off = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "title")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "title")
+
+        def handle_data(self, data):
+            words.extend(data.split() if not self.off else [])
+
+    parser = Words()
+    parser.feed(page)
+    parser.close()
+    return words
+
+
+GROWING = [
+    lambda k: "<style>a{display" + "x" * 20_000 * k + "</style>ok", lambda k: "<style>" + "/* " * 10_000 * k + "</style>ok", lambda k: "<style>" + "{" * 10_000 * k + "</style>ok", lambda k: "<div><p>x" * 2_000 * k, lambda k: "<p><button>" + "<b>" * 2_000 * k + "<div>a</div>" * 2_000 * k, lambda k: "<ul><li>" + "<div>" * 2_000 * k + "<li>" * 2_000 * k,
+    lambda k: "<table>" + "<tr><td rowspan=65534 colspan=1000>a" * 200 * k, lambda k: "<b " * 10_000 * k + '"', lambda k: "<table><tr><td>x" * 1_000 * k, lambda k: "<blockquote>x" * 2_000 * k, lambda k: "<table>x<b>" * 2_000 * k, lambda k: "<p " + "a " * 20_000 * k + ">x",
+    lambda k: "<style>" + "".join(f".c{i}{{display:none}}" for i in range(1_000 * k)) + "</style>" + "<p class='d e'>a" * 1_000 * k, lambda k: "<table><tr>" + "<td>" + "a<br>" * 2_000 * k + "<td>b" * 500,
+]
+
+
+@pytest.mark.parametrize("page", GROWING)
+def test_time_is_in_proportion_to_length(page):
+    def took(k):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            render(page(k))
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert took(8) < 3 * 8 / 2 * (took(2) / 2) * 2 + 0.3
+
+
 @pytest.mark.parametrize("page, text", CASES)
 def test_rendering(page, text):
     got = render(page)
@@ -37,9 +101,13 @@ def test_depth_and_length():
     assert render("<table><tr>" + "<td>c" * 3000 + "</table>").split() == ["c"] * 3000
 
 
-def test_every_visible_word_once(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
-    assert all(html.render(r.html).strip() for r in rows if r.html)
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_every_visible_word_in_order(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in html.query(spark, f"/root/testdata/{sf}").collect()}
+    assert set(got) == set(pages)
+    for i, page in pages.items():
+        assert [w for w in (got[i] or "").split() if w != "-"] == [w for w in visible_words(page or "") if w != "-"]
 
 
 def test_query_rows(spark):
