@@ -128,6 +128,12 @@ def all_columns(df: DataFrame) -> list[Column]:
     return [quoted(c) for c in df.columns]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of whole rows, whatever types they have (maps can't be hashed, so they are written out)."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return F.xxhash64(*[F.to_json(F.struct(quoted(c))) if "map<" in kinds[c] else quoted(c) for c in df.columns])
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int = 24, limit: int | None = None) -> DataFrame:
     """big join small; small is broadcast only if its measured size is under limit, and shuffled otherwise.
 
