@@ -13,7 +13,8 @@ that holds a source's threshold is ranked.
 
 Defined results: a null source is a source of its own; a null or empty text
 has size 1; rows that repeat are drawn for separately only as far as their ids
-differ (equal keys rank by id, then by all columns); no rows in give no rows.
+differ (equal keys rank by id, then by all columns); no rows in give no rows;
+ids may have any type; other columns may have any names and types, maps too.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from korvex.plans.util import BROADCAST_LIMIT, all_columns, cut, fresh, quoted, table
+from korvex.plans.util import BROADCAST_LIMIT, all_columns, cut, fresh, row_hash, table
 
 #: The uniform numbers have this many values, and their bits are a hash's first ones.
 SPAN = 1 << 48
@@ -85,9 +86,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     x = x.withColumn(key, F.when(F.col(r) > 0, odds))
     x = x.withColumn(b, F.floor(F.col(key) / (1 + F.col(key)) * BUCKETS).cast("int"))
     # Where each source's sample ends: draws left, counted through the buckets.
-    narrow = x.groupBy(F.col(source_col).alias(s), F.col(b).alias("at")).agg(F.sum(r).alias("rests"), F.count(key).alias("n"), F.max(z).alias("size"))
+    narrow = x.groupBy(F.col(source_col).alias(s), F.col(b).alias("at")).agg(F.sum(F.col(r).cast("decimal(20,0)")).alias("rests"), F.count(key).alias("n"), F.max(z).alias("size"))
     per = Window.partitionBy(s)
-    ends = narrow.withColumn("left", F.expr(f"CAST(sum(rests) OVER (PARTITION BY `{s}`) AS BIGINT) div size"))
+    # The rests of a source may add up to more than 64 bits hold; their sum is a whole number of its size.
+    ends = narrow.withColumn("left", F.expr(f"CAST(CAST(sum(CAST(rests AS DECIMAL(28,0))) OVER (PARTITION BY `{s}`) AS DECIMAL(38,0)) div CAST(size AS DECIMAL(20,0)) AS BIGINT)"))
     ends = ends.withColumn("before", F.coalesce(F.sum("n").over(per.orderBy(F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ends = cut(ends.where("at IS NOT NULL AND before < left AND before + n >= left").select(s, F.col("at").alias("end"), (F.col("left") - F.col("before")).alias("take")))
     t = ends.select(F.col(s).alias(s2), F.col("end").alias(end), F.col("take").alias(take))
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     below = F.coalesce(F.col(b) < F.col(end), F.lit(False))
     at = F.coalesce(F.col(b) == F.col(end), F.lit(False))
     clear = x.where(~at).withColumn(copies_col, F.col(copies_col) + below.cast("bigint"))
-    tie = [F.col(key).asc(), F.col(id_col).asc_nulls_first(), F.xxhash64(*all_columns(docs))]
+    tie = [F.col(key).asc(), F.col(id_col).asc_nulls_first(), row_hash(docs)]
     edge = x.where(at).withColumn(rank, F.row_number().over(Window.partitionBy(source_col).orderBy(*tie)))
     edge = edge.withColumn(copies_col, F.col(copies_col) + (F.col(rank) <= F.col(take)).cast("bigint"))
     columns = [*all_columns(docs), F.col(copies_col)]

@@ -73,3 +73,14 @@ def test_edges(spark):
 def test_same_from_other_partitions(spark):
     df = spark.createDataFrame(ROWS, DOCS)
     assert sorted(map(tuple, mixing.mix(df.repartition(5)).collect())) == sorted(map(tuple, mixing.mix(df.coalesce(1)).collect()))
+
+
+def test_sums_beyond_64_bits_and_map_columns(spark):
+    rows = [(i, "x" * (i % 90), "s", {"k": i}) for i in range(300)] + [(None, "y", None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra map<string, int>")
+    out = mixing.mix(df, total=301)
+    assert out.agg(F.sum("copies")).first()[0] == 301 and "extra" in out.columns
+    assert mixing.repeat(out).count() == 301
+    # The rests of a source: 2^40 rows of up to 2^40 each, in parts.
+    big = spark.range(4).select(F.lit(2**62).alias("r")).agg(F.sum(F.col("r").cast("decimal(20,0)")).alias("rests"))
+    assert int(big.first().rests) == 2**64
