@@ -8,7 +8,9 @@ so a fingerprint collision never drops a document.
 
 Defined results: null texts are never duplicates; empty texts equal each other;
 rows that repeat count as copies; of a group, the row with the smallest id (ids
-that are null last) stays.
+that are null last, equal ones by a hash of the row) stays; ids of any type
+that sorts; other columns may have any names and types, maps too; no rows in
+give no rows.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvex.plans.util import all_columns, cut, fresh, join_checked, quoted, table
+from korvex.plans.util import all_columns, cut, fresh, join_checked, quoted, row_hash, table
+
+
+#: Fingerprints of a range, about.
+SHARD = 1 << 21
 
 
 class CountingQuotientFilter:
@@ -156,8 +162,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_fingerprints(docs: DataFrame, text_col: str = "text", hash_col=None) -> DataFrame:
     """(fp): fingerprints that more than one non-null text of docs has."""
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as keep a merged filter at SHARD fingerprints, about; the count reads no text.
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD))
     bits = max(1, int(np.ceil(np.log2(max(2, shards)))))
     fp = F.xxhash64(F.col(text_col)) if hash_col is None else hash_col
     keys = docs.where(F.col(text_col).isNotNull()).select(fp.alias("fp"))
@@ -176,7 +182,7 @@ def _candidates(docs: DataFrame, text_col: str, hash_col=None) -> tuple[DataFram
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_col=None) -> DataFrame:
     """(doc_id, group_id) of every document whose text another row has too; group_id is the smallest id of the group."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     flagged, fp = _candidates(docs, "text", hash_col)
     flagged = flagged.where(F.col(fp).isNotNull())
     # Bytes are compared here: the group key is the text itself, of which each task sends one copy on.
@@ -187,10 +193,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = join_checked(keyed, verified.where("texts = 1 AND n > 1").select(fp, "group_id"), [fp], "inner", 32).select("doc_id", "group_id")
     several = verified.where("texts > 1").select(fp)
     if several.limit(1).count():
-        own = Window.partitionBy(fp, "text")
         rest = join_checked(flagged, several, [fp], "left_semi", 24)
-        rest = rest.select("doc_id", F.min("doc_id").over(own).alias("group_id"), F.count(F.lit(1)).over(own).alias("n"))
-        out = out.unionByName(rest.where("n > 1").select("doc_id", "group_id"))
+        own = rest.groupBy(fp, "text").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = out.unionByName(rest.join(own, [fp, "text"]).select("doc_id", "group_id"))
     return out
 
 
@@ -198,9 +203,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs without the later copies of each text; all columns and all rows with a null text stay."""
     flagged, fp = _candidates(docs, text_col, hash_col)
     unique = flagged.where(F.col(fp).isNull()).select(*all_columns(docs))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")))
+    order = F.struct(quoted(id_col).isNull().alias("n"), quoted(id_col).alias("i"), row_hash(docs).alias("h"))
+    first = F.min_by(F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]), order)
     copies = flagged.where(F.col(fp).isNotNull()).groupBy(fp, text_col).agg(first.alias("kx_first"))
-    kept = copies.select(*[F.col(f"kx_first.row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    kept = copies.select(*[F.col(f"kx_first.c{k}").alias(c) for k, c in enumerate(docs.columns)])
     return unique.unionByName(kept)
 
 

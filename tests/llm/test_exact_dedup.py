@@ -61,3 +61,18 @@ def test_drop_keeps_columns_and_clashing_names(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert exact_dedup.duplicate_groups(df).count() == 0 and exact_dedup.drop_duplicates(df).count() == 0
+
+
+def test_map_columns_text_ids_and_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD", 8)
+    rows = [(f"d{i:03d}", f"text {i % 40}" if i % 9 else None, {"k": i}) for i in range(200)] + [(None, "text 1", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, extra map<string, int>")
+    want = {}
+    for i, t, _ in rows:
+        if t is not None:
+            want.setdefault(t, []).append(i)
+    kept = exact_dedup.drop_duplicates(df).collect()
+    assert sorted((r.doc_id, r.extra["k"]) for r in kept if r.text is not None) == sorted((m, int(m[1:])) for m in (min(i for i in ids if i) for ids in want.values()))
+    assert sum(r.text is None for r in kept) == sum(t is None for _, t, _ in rows)
+    groups = {r.doc_id: r.group_id for r in exact_dedup.duplicate_groups(df).collect()}
+    assert groups == {i: min(x for x in ids if x) for ids in want.values() if len(ids) > 1 for i in ids}
