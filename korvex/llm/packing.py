@@ -16,18 +16,19 @@ window.
 
 Defined results: null texts and texts without words have no piece; rows that
 repeat are packed each; pieces of equal length are interchangeable and go by
-hash, id and place; no rows in give no rows.
+hash, id and place; no rows in give no rows; ids may be null or have any type
+that can be hashed; other columns may have any names and types.
 """
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations_with_replacement, count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from korvex.plans.util import BROADCAST_LIMIT, cut, table, written
+from korvex.plans.util import BROADCAST_LIMIT, cut, quoted, table, written
 
 #: Words of a window, the step of the histogram, and the most pieces of an enumerated combination.
 WINDOW, GRANULE, DEPTH = 2048, 16, 3
@@ -47,10 +48,14 @@ def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
 
 
 def nnls(gram: np.ndarray, target: np.ndarray, rounds: int | None = None, tolerance: float = 1e-9) -> np.ndarray:
-    """x >= 0 that minimises |A x - b|, from A'A and A'b, by Lawson and Hanson's active sets."""
+    """x >= 0 that minimises |A x - b|, from A'A and A'b, by Lawson and Hanson's active sets.
+
+    Goes on until no gradient is left above the tolerance: every round lowers
+    the residual, so no active set comes twice. rounds is for tests.
+    """
     n = len(target)
     x, passive = np.zeros(n), np.zeros(n, bool)
-    for _ in range(rounds or 3 * n):
+    for _ in range(rounds) if rounds is not None else count():
         gradient = target - gram @ x
         gradient[passive] = -np.inf
         k = int(gradient.argmax()) if n else 0
@@ -122,7 +127,7 @@ def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...
         # Short pieces fill gaps anyway: leaving them over costs little.
         weight = np.where(np.arange(1, bins + 1) <= bins // 16, 0.3, 1.0)[:, None]
         w = a * weight
-        x = nnls(w.T @ w, w.T @ (histogram / scale * weight[:, 0]), 4 * bins) * scale
+        x = nnls(w.T @ w, w.T @ (histogram / scale * weight[:, 0])) * scale
         for c in np.argsort(-x, kind="stable"):
             if x[c] < 0.5:
                 break
@@ -141,7 +146,7 @@ def word_count(text: Column) -> Column:
 def pieces(docs: DataFrame, window: int, granule: int, id_col: str, text_col: str, length_col: str | None) -> DataFrame:
     """(doc_id, piece, begin, length, bin) of all pieces."""
     n = word_count(F.col(text_col).cast("string")) if length_col is None else F.col(length_col).cast("bigint")
-    sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (n + 1).alias("n")).where("n > 1")
+    sized = docs.select(quoted(id_col).alias("doc_id"), (n + 1).alias("n")).where("n > 1")
     cuts = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {window}"))).alias("piece"))
     out = cuts.withColumn("begin", F.col("piece") * window).withColumn("length", F.least(F.col("n") - F.col("begin"), F.lit(window).cast("bigint")))
     return out.select("doc_id", "piece", "begin", "length", F.expr(f"CAST((length + {granule - 1}) div {granule} AS INT)").alias("bin"))

@@ -97,3 +97,9 @@ def test_same_rows_from_other_partitions(spark):
     df = spark.createDataFrame(docs, DOCS)
     one, two = (sorted(map(tuple, packing.pack(x, 64, 4).collect())) for x in (df.repartition(7), df.coalesce(1)))
     assert one == two
+
+
+def test_text_ids_and_map_columns(spark):
+    df = spark.createDataFrame([("a", "one two three", {"k": 1}), (None, "four", None), ("b", None, None)], "doc_id string, text string, extra map<string, int>")
+    got = packing.pack(df, window=16, granule=4).collect()
+    assert sorted((str(r.doc_id), r.length) for r in got) == [("None", 2), ("a", 4)]
