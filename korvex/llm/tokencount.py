@@ -11,7 +11,8 @@ best segmentation of a text is those of its words one after another, exactly;
 a worker remembers the counts of words that it has met.
 
 Defined results: a null text has a null count, an empty one 0; texts of any
-length are counted whole.
+length are counted whole; rows that repeat are all counted; no rows in give no
+rows; ids may be null or of any type; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvex.plans.util import table
+from korvex.plans.util import quoted, spread, table
 
 #: Folder of the vocabulary files, and the one whose pieces and scores are the unigram model.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 PENALTY = 10.0
-REMEMBERED = 1 << 19
+#: Characters of the words whose counts a worker remembers, in all; longer words than LONG are counted anew.
+REMEMBERED, LONG = 1 << 22, 64
 _BYTE = re.compile(r"<0x[0-9A-F]{2}>")
 
 
@@ -59,6 +61,7 @@ class PieceCounter:
         self.bytes = sum(1 for p, _ in pieces if _BYTE.fullmatch(p)) == 256
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def viterbi(self, text: str) -> int:
         """Pieces of the best segmentation of a normalised text."""
@@ -111,9 +114,13 @@ class PieceCounter:
         for word in self.words.findall(text):
             c = known.get(word)
             if c is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                c = known[word] = self.viterbi(word)
+                c = self.viterbi(word)
+                if len(word) <= LONG:
+                    if self.held > REMEMBERED:
+                        known.clear()
+                        self.held = 0
+                    known[word] = c
+                    self.held += len(word)
             total += c
         return total
 
@@ -133,7 +140,8 @@ def counter(path: str | None = None):
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of every row."""
-    return docs.select(F.col(id_col).alias("doc_id"), counter(path)(F.col(text_col).cast("string")).alias("n_tokens"))
+    rows = spread(docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")))
+    return rows.select("doc_id", counter(path)(F.col("text")).alias("n_tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
