@@ -10,7 +10,11 @@ Trained on a bounded sample of labelled documents (SAMPLE, the smallest hashes
 of the ids), whose lines take the document's label.
 
 Defined results: null, empty and blank texts have quality 0; lines end at
-line feeds, whatever the length; rows that repeat get equal qualities.
+line feeds, whatever the length; rows that repeat get equal qualities; of ids
+that repeat in training the smallest text counts; a quality at the threshold is
+kept; no rows in give no rows; without labels of both kinds all texts get the
+quality of the kind that there is (one half without any); ids may be null or of
+any type; other columns may have any names and types.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvex.plans.util import fresh, join_checked, table
+from korvex.plans.util import cut, fresh, join_checked, quoted, spread, table
 
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE = 3000
@@ -117,8 +121,8 @@ def with_neighbours(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(score: np.ndarray, owner: np.ndarray, start: float, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals P(good) of lines, expected [2, 2] transition counts, log partition; score: log odds of good; trans: log weights from bad/good to bad/good."""
+def forward_backward(score: np.ndarray, owner: np.ndarray, start: float, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals P(good) of lines, expected [2, 2] transition counts (each by the weight of its second line), log partition; score: log odds of good; trans: log weights from bad/good to bad/good."""
     lines = len(score)
     if not lines:
         return np.zeros(0), np.zeros((2, 2)), 0.0
@@ -148,7 +152,7 @@ def forward_backward(score: np.ndarray, owner: np.ndarray, start: float, trans:
         if k + 1 < longest:
             nxt = first[: active[k + 1]] + k + 1
             g = e[nxt] * b / norm[nxt][:, None]
-            expected += (alpha[nxt - 1].T @ g) * t
+            expected += (alpha[nxt - 1].T @ (g if weight is None else g * weight[nxt][:, None])) * t
             b = np.concatenate((g @ t.T, np.ones((active[k] - active[k + 1], 2))))
         else:
             b = np.ones((active[k], 2))
@@ -164,7 +168,7 @@ class LineField:
 
     @classmethod
     def fit(cls, texts: list[str], good: list[bool], steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> LineField:
-        """Maximum likelihood by Adam; each class of documents weighs the same."""
+        """Maximum weighted likelihood of whole documents by Adam: a document's weight is one over the number of lines of its class, in all features alike."""
         field = cls(np.zeros(3 * OWN), 0.0, np.zeros((2, 2)))
         if not texts or len(set(good)) < 2:
             field.weights[0] = 0.0 if not texts else (4.0 if good[0] else -4.0)
@@ -176,18 +180,18 @@ class LineField:
         x = np.concatenate([with_neighbours(f, own) for _, (f, _, own) in parts])
         owner = np.concatenate([own + i for i, (_, _, own) in parts])
         y = np.asarray(good, float)[owner]
-        # Lines of the rarer class weigh more, in all as much as the others.
+        # A document's lines have one label, so that this is a weight of the document; both classes weigh the same.
         weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
         first = np.append(True, owner[1:] != owner[:-1])
         pairs = np.zeros((2, 2))
         inner = ~first[1:]
-        np.add.at(pairs, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), 1)
+        np.add.at(pairs, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), weight[1:][inner])
         param = np.zeros(len(field.weights) + 5)
         m, v = np.zeros_like(param), np.zeros_like(param)
         for step in range(1, steps + 1):
             w, start, trans = param[:-5], param[-5], param[-4:].reshape(2, 2)
-            p, expected, _ = forward_backward(x @ w, owner, start, trans)
-            gradient = np.concatenate([((y - p) * weight) @ x, [((y - p) * weight)[first].sum()], ((pairs - expected) / len(y)).ravel()]) - decay * param
+            p, expected, _ = forward_backward(x @ w, owner, start, trans, weight)
+            gradient = np.concatenate([((y - p) * weight) @ x, [((y - p) * weight)[first].sum()], (pairs - expected).ravel()]) - decay * param
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             param = param + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         field.weights, field.start, field.trans = param[:-5], float(param[-5]), param[-4:].reshape(2, 2)
@@ -242,17 +246,19 @@ def scorer(field: LineField):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> LineField:
     """Fits the field on at most sample labelled documents."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("kx_id"), (F.col("quality") > 0).alias("kx_good"))
+    # Of an id that repeats, the smallest text counts, and the label is good if any says so.
+    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("kx_id")).agg((F.max("quality") > 0).alias("kx_good"))
     chosen = chosen.orderBy(F.xxhash64("kx_id", F.lit(9)), "kx_id").limit(sample)
-    ids = docs.select(F.col(id_col).alias("kx_id"), F.col(text_col).cast("string").alias("kx_text"))
-    rows = join_checked(ids, chosen, ["kx_id"], "inner", 24).dropDuplicates(["kx_id"]).orderBy("kx_id").collect()
+    ids = docs.select(quoted(id_col).alias("kx_id"), quoted(text_col).cast("string").alias("kx_text"))
+    rows = join_checked(ids, cut(chosen), ["kx_id"], "inner", 24).groupBy("kx_id", "kx_good").agg(F.min("kx_text").alias("kx_text")).orderBy("kx_id").collect()
     return LineField.fit([r.kx_text for r in rows], [r.kx_good for r in rows])
 
 
 def qualities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, quality, keep) of every row of docs."""
     score = scorer(train(docs, labels, id_col=id_col, text_col=text_col))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.round(score(F.col(text_col).cast("string")), 6).alias("quality"))
+    rows = spread(docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")))
+    out = rows.select("doc_id", F.round(score(F.col("text")), 6).alias("quality"))
     return out.withColumn("keep", F.col("quality") >= THRESHOLD)
 
 
@@ -260,7 +266,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs that qualities() would keep, with all their columns."""
     name = fresh(docs, "kx_quality")
     score = scorer(train(docs, labels, id_col=id_col, text_col=text_col))
-    return docs.withColumn(name, F.round(score(F.col(text_col).cast("string")), 6)).where(F.col(name) >= THRESHOLD).drop(name)
+    return docs.withColumn(name, F.round(score(quoted(text_col).cast("string")), 6)).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

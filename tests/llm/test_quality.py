@@ -67,3 +67,30 @@ def test_nulls_empties_columns_and_no_labels(spark):
     assert kept.columns == df.columns and kept.count() == 23
     assert quality.qualities(df.limit(0), labels).count() == 0
     assert quality.qualities(df, labels.limit(0)).count() == df.count()
+
+
+def test_repeated_training_ids_and_text_ids(spark):
+    good, bad = "A calm line of words.\nAnother calm line here.\n", "!!!! 1111 |||| ####\n@@@@ 2222\n"
+    rows = [(f"d{i}", good if i % 2 else bad, {"k": i}) for i in range(40)]
+    df = spark.createDataFrame(rows + [("d1", bad, None), ("d0", good, None)], "doc_id string, text string, extra map<string, int>")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)] + [("d1", 0), (None, 1)], "doc_id string, quality int")
+    a, b = (quality.train(d, labels) for d in (df, df.repartition(7)))
+    assert np.array_equal(a.weights, b.weights)
+    got = {(r.doc_id, r.quality) for r in quality.qualities(df, labels).collect()}
+    assert len(got) == 42
+    assert all((q > 0.5) == (int(i[1:]) % 2 == 1) for i, q in got if i not in ("d0", "d1"))
+
+
+def test_gradient_is_that_of_one_likelihood():
+    rng = np.random.default_rng(2)
+    owner, score, weight = np.array([0, 0, 0, 1, 2, 2]), rng.standard_normal(6), np.array([0.2, 0.2, 0.2, 0.5, 0.1, 0.1])
+    trans = rng.standard_normal((2, 2))
+    _, expected, _ = quality.forward_backward(score, owner, 0.3, trans, weight)
+    numeric = np.zeros((2, 2))
+    for i, j in np.ndindex(2, 2):
+        for sign in (1, -1):
+            t = trans.copy()
+            t[i, j] += sign * 1e-5
+            total = sum(w * quality.forward_backward(score[owner == d], owner[owner == d], 0.3, t)[2] for d, w in ((0, 0.2), (1, 0.5), (2, 0.1)))
+            numeric[i, j] += sign * total / 2e-5
+    assert np.allclose(expected, numeric, atol=1e-5)
