@@ -12,7 +12,9 @@ Public keys, certificates, plain hashes and prose are not reported.
 
 Defined results: null and empty texts give no rows; a secret found twice in a
 text gives two rows; rows that repeat are all reported; positions count
-characters, and a digest stands for the secret itself.
+characters, and a digest stands for the secret itself; texts of any length are
+scanned whole; no rows in give no rows; ids may be null or of any type; other
+columns may have any names and types.
 """
 
 from __future__ import annotations
@@ -28,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvex.plans.util import table
+from korvex.llm.ids import dtype
+from korvex.plans.util import quoted, spread, table
 
 _CANDIDATE = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*|={0,2})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----((?:[A-Za-z0-9+/=\s\"',]|\\[nr])+)-----END ")
 _GAP = re.compile(r"(?:\\[nr]|[\s\"',])+")
-_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|(?:api|access|private|auth|client|encryption|signing)[ _.-]?(?:key|token|secret))[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?$", re.IGNORECASE)
+_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|(?:api|access|private|auth|client|encryption|signing)[ _.-]?(?:key|token|secret))[\"']?[ \t]*(?::=|=>|[:=])\s*[\"']?$", re.IGNORECASE)
 _HEX = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 _SIGNATURE = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "ES256K": {64}, "ES384": {96}, "ES512": {132}, "EdDSA": {64, 114}}
-_KEY_BYTES = {16, 20, 24, 28, 32, 40, 48, 64}
+#: Bytes of an assigned value, and characters before it that may hold its name.
+_KEY_BYTES, _BEFORE = range(15, 257), 160
 _PRIVATE_OIDS = {bytes.fromhex("2a864886f70d010101"): "rsa", bytes.fromhex("2a8648ce3d0201"): "ec", bytes.fromhex("2b6570"): "ed25519", bytes.fromhex("2b656e"): "x25519", bytes.fromhex("2a8648ce380401"): "dsa"}
 
 
@@ -135,7 +139,7 @@ def signed_token(text: str) -> str | None:
         raw = unbase64(part)
         try:
             parsed.append(json.loads(raw.decode("utf-8")) if raw is not None else None)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
     if not all(isinstance(p, dict) for p in parsed) or not isinstance(parsed[0].get("alg"), str):
         return None
@@ -147,15 +151,20 @@ def signed_token(text: str) -> str | None:
 
 
 def random_bytes(data: bytes) -> bool:
-    """Whether data has as many bytes as a key, and few of them twice."""
-    return len(data) in _KEY_BYTES and len(set(data)) >= 0.6 * len(data) and not data.isascii()
+    """Whether data has as many bytes as a key, and about as many different ones as random bytes have."""
+    n = len(data)
+    return n in _KEY_BYTES and len(set(data)) >= 0.8 * 256 * (1 - (255 / 256) ** n) and not data.isascii()
+
+
+def random_letters(s: str) -> bool:
+    """Whether a text of letters alone changes between capitals and others as random ones do; words and joined words don't."""
+    upper = [c.isupper() for c in s]
+    return 0.25 <= sum(upper) / len(s) <= 0.75 and sum(a != b for a, b in zip(upper, upper[1:])) >= 0.36 * len(s)
 
 
 def confirm(text: str, begin: int, end: int) -> tuple[str, int] | None:
     """The kind of secret that a candidate is, and where it ends; None if it is none."""
     s = text[begin:end]
-    if s.isalpha() and "M" not in s and "b" not in s:  # no encoding that is looked for
-        return None
     kind = None
     if "." in s:
         kind = signed_token(s)
@@ -164,10 +173,11 @@ def confirm(text: str, begin: int, end: int) -> tuple[str, int] | None:
     if kind is None:
         hexed = _HEX.fullmatch(s)
         forms = [bytes.fromhex(s)] if hexed else []
+        # A DER sequence begins with byte 30, so with an M; an OpenSSH container with its name, so with a b.
         if s[0] in "Mb" and (plain := unbase64(s)) is not None:
             forms.append(plain)
         kind = next((k for k in map(key_kind, forms) if k), None)
-        if kind is None and any(c.isdigit() for c in s) and _NAMED.search(text, max(0, begin - 48), begin):
+        if kind is None and (random_letters(s) if s.isalpha() else any(c.isdigit() for c in s) or not s.isascii() or any(c in "+/" for c in s)) and _NAMED.search(text, max(0, begin - _BEFORE), begin):
             data = bytes.fromhex(s) if hexed else unbase64(s)
             if data is not None and random_bytes(data):
                 kind = "assigned_hex_token" if hexed else "assigned_base64_token"
@@ -268,6 +278,9 @@ def scan(text: str | None) -> list[tuple[str, int, int, str]]:
                 hits += own
             elif hit := confirm(text, *m.span()):
                 hits.append((hit[0], m.start(), hit[1]))
+                at = hit[1]
+            elif "." in m.group():  # what follows the dot may be a candidate itself
+                at = m.start() + m.group().index(".") + 1
         if kind:
             hits.append((kind, begin, end))
             at = end
@@ -285,8 +298,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, begin, end, digest) of every confirmed secret."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan, "doc_id bigint, kind string, begin bigint, end bigint, digest string")
+    rows = docs.where(quoted(text_col).isNotNull()).select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    return spread(rows).mapInArrow(_scan, f"doc_id {dtype(docs, id_col)}, kind string, begin bigint, end bigint, digest string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import base64
 import json
 import os
+import re
 
 import pytest
 
@@ -78,6 +79,55 @@ def test_assigned_tokens():
     assert scan(f"digest {value}") == []
 
 
+@pytest.mark.parametrize("value", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "kQzWpLmXvTrBnHsYdGfJcAeUiO", "f" * 0 + bytes(range(200, 223)).hex()])
+@pytest.mark.parametrize("gap", ["=", " = ", "       : \n   ", "\t=>\t'"])
+def test_assigned_values_of_any_size(value, gap):
+    text = f"aws_secret_access_key{gap}{value}'"
+    assert [text[a:b] for _, a, b, _ in scan(text)] == [value]
+
+
+def test_words_after_a_name_are_no_secret():
+    for word in ("getPasswordFromEnvironmentVariable", "internationalization", "OrganisationForEconomicCooperation", "SCREAMINGCONSTANTNAMES"):
+        assert scan(f"password = {word}") == []
+
+
+def test_what_follows_a_broken_token_is_scanned():
+    key = b64(EC).rstrip("=").replace("+", "-").replace("/", "_")
+    text = f"aaaaaaaaaaaaaaaaaaaa.{key}.x " + ".".join([url(b'{"alg":"HS256"}'), url(b"[" * 100_000), "AAAA"])
+    assert [(k, text[a:b]) for k, a, b, _ in scan(text)] == [("ec_private_key", key)]
+
+
+def brute(text):
+    """Kinds of all secrets: every slice between characters of neither alphabet, and every part of those between dots, decoded and parsed."""
+    found = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=.-]{16,}", text or ""):
+        parts = m.group().split(".")
+        for k in range(len(parts) - 2):
+            if all(parts[k : k + 2]) and secrets.signed_token(".".join(parts[k : k + 3])):
+                found.add("signed_token")
+        for part in parts:
+            forms = [secrets.unbase64(part)] + ([bytes.fromhex(part)] if re.fullmatch(r"([0-9a-f]{2})+", part) else [])
+            found |= {secrets.key_kind(f) for f in forms if f} - {None}
+            named = re.search(r"(token|secret|password|key)[\"']?\s*[=:]\s*[\"']?$", text[: m.start()][-80:], re.IGNORECASE)
+            if named and any(f and secrets.random_bytes(f) for f in forms) and any(c.isdigit() for c in part):
+                found.add("assigned")
+    return found
+
+
+def test_query_against_brute_force(spark):
+    path = "/root/testdata/sf0.01"
+    got = {}
+    for r in secrets.query(spark, path).collect():
+        got.setdefault(r.doc_id, set()).add("assigned" if r.kind.startswith("assigned") else "signed_token" if r.kind.startswith("signed") else r.kind)
+    want = {r.doc_id: w for r in spark.read.parquet(f"{path}/documents.parquet").collect() if (w := brute(r.text))}
+    assert got == want and want
+
+
+def test_text_ids_and_clashing_names(spark):
+    df = spark.createDataFrame([("a", b64(rsa()), {"x": 1}, 1), (None, b64(EC), None, 2)], "doc_id string, text string, kind map<string, int>, `be.gin` int")
+    assert sorted((str(r.doc_id), r.kind) for r in secrets.secrets(df).collect()) == [("None", "ec_private_key"), ("a", "rsa_private_key")]
+
+
 @pytest.mark.parametrize("follows", ["DB_HOST=x", "Next line", "The fox", "and more\nlines", "Word", "A" * 50 + "\nrest"])
 @pytest.mark.parametrize("gap", ["\n", "\r\n"])
 def test_secrets_at_a_line_end(follows, gap):
