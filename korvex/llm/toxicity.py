@@ -5,26 +5,40 @@ weighted by LAMBDA to the power of its stretch in both, and is normalised; a
 span is a word, a word without the marks inside it, or a run of single letters
 ("i d i o t"). Inserted characters only lengthen some stretches, so "idxiot"
 stays close to "idiot". Landmarks give the Nyström features on which a linear
-support vector machine is trained with labelled sentences. Insults that
-resemble each other form a family; how often clean text has spans of a family
-is counted in training, and a document is toxic if clean text of its length
-would hardly have as many (CHANCE), of one family or of all together. A known
-insult itself, which clean text hardly has, is enough in a text of any length;
-a span that also occurs by accident is not.
+support vector machine is trained.
+
+Training is that of a multiple-instance machine (MI-SVM) on labelled sentences:
+a sentence is a bag of spans and as toxic as its worst span; sentences of clean
+documents are clean, the other sentences of toxic documents may be toxic. The
+machine and the toxic sentences' witnesses (the span for which a sentence counts
+as toxic) are fitted in turn: the machine is trained on witnesses against spans
+of clean sentences (those that score highest are added until none is left), then
+every sentence of a toxic document takes as its witness the span that scores
+highest, if it is beyond the margin; without such a span it is left out. The
+first witnesses are spans that a likelihood-ratio test (EVIDENCE) finds in
+sentences of toxic documents rather than in clean ones; how many labels there
+are changes what the test can see, but no share of them is asked for.
+
+Witnesses that resemble each other form a family. How often clean sentences
+have spans of a family calibrates the machine's scores: a document is toxic if
+clean text of its length would hardly have as many (CHANCE), of one family or of
+all together. A witness that clean sentences hardly have (RATIO) is enough in a
+text of any length; a span that also occurs by accident is not.
 
 A sum over landmarks of kernels is linear in a span's subsequences, so the
 trained machine is folded, without approximation, into one table of weights by
 letter triple; a span is scored by the triples that it has.
 
-Training: of labelled documents (at most SAMPLE toxic ones and twice as many clean ones, by hash), words
-that stand in many different surroundings in toxic documents and hardly any in
-clean ones mark the sentences that carry a toxic document's label; sentences of
-clean documents are negative. Spans of clean sentences that score highest are
-added as negatives until none is left (hard negatives).
+At most SAMPLE toxic labelled documents and twice as many clean ones (by hash)
+are used for training. Digits and signs that stand for letters are read as those.
 
 Defined results: null and empty texts, and texts without a span of three
 letters, are not toxic; very long words are scored in overlapping windows; rows
-that repeat are all reported; no labelled toxic document means no toxic one.
+that repeat are all reported; of ids that repeat in training the smallest text
+counts, and a label says toxic if any does; of equal scores the first span in
+order is reported; no labelled toxic document means no toxic one; no rows in
+give no rows; ids may be null or of any type; other columns may have any names
+and types.
 """
 
 from __future__ import annotations
@@ -40,7 +54,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvex.plans.util import join_checked, table
+from korvex.llm.ids import dtype
+from korvex.plans.util import cut, join_checked, quoted, spread, table
 
 LAMBDA = 0.8
 #: Labelled documents of each label that the machine is trained on, at most.
@@ -57,8 +72,10 @@ MARGIN = 0.2
 CHANCE = 0.0003
 #: What a family that clean text never had counts for.
 UNSEEN = 0.1
-#: A toxic document's word is an insult if it has so many times the surroundings there that it has in as much clean text.
+#: A witness is so many times likelier in a sentence of a toxic document than in a clean one.
 RATIO = 25
+#: Likelihood-ratio statistic of the first witnesses (a chance of 1 in 100,000), and the most rounds of training.
+EVIDENCE, ROUNDS = 19.5, 2
 _SINGLES = re.compile(r"(?:(?<=\s)|^)[^\W\d_][\W_]+[^\W\d_][\W_]+[^\W\d_](?![^\W\d_])")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
@@ -314,41 +331,48 @@ def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, c
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
-def _places(text: str | None) -> Iterator[tuple[list[str], int]]:
-    """Of each word (and each run of single letters): its spans, and a number for its surroundings."""
-    for sentence in _SENTENCE.findall((text or "").lower()):
-        words = [_OUTER.sub("", w) for w in sentence.split()]
-        for k, word in enumerate(words):
-            yield spans_of_word(word), hash((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
-        for s in runs(sentence):
-            yield windows(s), hash(sentence)
-
-
-def labelled_spans(texts: list[str], toxic: list[bool]) -> tuple[list[str], dict[str, float], Counter, int]:
-    """Insults of toxic sentences, how many occurrences in clean text each bears, how often clean text has which spans, and its number of words."""
-    n, total = max(1, sum(toxic)), 0
-    around = defaultdict(set)
-    for text, bad in zip(texts, toxic):
-        if bad:
-            for own, place in _places(text):
-                for s in own:
-                    around[s].add(place)
-    # A copied document repeats its words' surroundings, so only differing ones count.
-    least = max(4, 0.02 * n)
-    around = {s: len(places) for s, places in around.items() if len(places) >= least}
-    clean: Counter = Counter()
-    elsewhere = {s: set() for s in around}  # only what may be a mark needs its surroundings in clean text
-    for text, bad in zip(texts, toxic):
-        if not bad:
-            total += len(text.split()) if text else 0
-            for own, place in _places(text):
-                clean.update(own)
-                for s in own:
-                    if s in elsewhere:
-                        elsewhere[s].add(place)
-    share = n / max(1, len(toxic) - n)
-    marks = [s for s, places in around.items() if places > RATIO * share * len(elsewhere[s])]
-    return sorted(marks, key=lambda s: (-around[s], s)), {s: around[s] / (RATIO * share) for s in marks}, clean, total
+def places(sentence: str) -> Iterator[tuple[list[str], str]]:
+    """Of each word (and each run of single letters): its spans, and its surroundings."""
+    words = [_OUTER.sub("", w) for w in sentence.split()]
+    for k, word in enumerate(words):
+        yield spans_of_word(word), " ".join(words[max(0, k - 1) : k] + ["_"] + words[k + 1 : k + 2])
+    for s in runs(sentence):
+        yield windows(s), sentence
+
+
+def bags(texts: list[str], toxic: list[bool]) -> tuple[list[list[str]], list[list[str]], Counter, Counter, Counter, int]:
+    """The spans of each differing sentence of toxic documents alone and of clean ones; in how many surroundings the former and the latter have each span; how often clean documents have it, and their number of words."""
+    kept: dict[str, bool] = {}  # a sentence counts once, and one that a clean document has is clean
+    times, words = Counter(), 0
+    for text, bad in sorted(zip(texts, toxic), key=lambda x: x[1]):
+        words += 0 if bad else len((text or "").split())
+        for sentence in _SENTENCE.findall((text or "").lower()):
+            kept.setdefault(sentence, bad)
+            times[sentence] += not bad
+    out: tuple[list, list] = ([], [])
+    # Near copies repeat a span in the same surroundings, so only differing ones are evidence.
+    around, clean = (defaultdict(set), defaultdict(set)), Counter()
+    for sentence, bad in kept.items():
+        own = list(places(sentence))
+        for spans, place in own:
+            for s in spans:
+                around[not bad][s].add(place)
+                if not bad:
+                    clean[s] += times[sentence]
+        out[not bad].append(list(dict.fromkeys(s for spans, _ in own for s in spans)))
+    t, c = (Counter({s: len(p) for s, p in x.items()}) for x in around)
+    return *out, t, c, clean, words
+
+
+def evidence(t: int, c: int, share: float) -> float:
+    """The likelihood-ratio statistic for a span in t surroundings of toxic and c of clean sentences, if a share of the sentences is toxic; 0 if the clean ones have it rather."""
+    p = t / (t + c)
+    return 2 * (t * math.log(p / share) + (c * math.log((1 - p) / (1 - share)) if c else 0.0)) if p > share else 0.0
+
+
+def first_witnesses(t: Counter, c: Counter, toxic: int, clean: int) -> set[str]:
+    share = toxic / max(1, toxic + clean)
+    return {s for s, n in t.items() if n * clean >= RATIO * c[s] * toxic and evidence(n, c[s], share) >= EVIDENCE}
 
 
 class TextScorer:
@@ -419,27 +443,45 @@ def _flag(machine: SpanMachine):
 
 
 def fit(texts: list[str], toxic: list[bool]) -> SpanMachine:
-    marks, bears, clean, words = labelled_spans(texts, toxic)
-    machine = SpanMachine.fit(marks, list(clean))
-    machine.calibrate(marks, bears, clean, words)
+    """The machine and its witnesses, in turn until they agree (ROUNDS at most), then calibrated."""
+    bad, good, t, c, clean, words = bags(texts, toxic)
+    share = len(bad) / max(1, len(good))
+    first = first_witnesses(t, c, len(bad), len(good))
+    witnesses = Counter(s for own in bad for s in own if s in first)
+    machine = SpanMachine.fit([], [])
+    negative = list(clean)
+    spans = list(t)
+    for _ in range(ROUNDS):
+        positive = sorted(witnesses, key=lambda s: (-witnesses[s], s))
+        machine = SpanMachine.fit(positive, negative)
+        if not positive:
+            break
+        score = dict(zip(spans, machine.scores(spans)))
+        best = [max(own, key=lambda s: (score[s], s)) for own in bad if own]
+        # A score is evidence, but spans that clean sentences have too, or chance explains, are none.
+        new = Counter(s for s in best if score[s] > MARGIN and t[s] > RATIO * share * c[s] and evidence(t[s], c[s], share / (1 + share)) >= EVIDENCE / 2)
+        if not new or new.keys() == witnesses.keys():
+            break
+        witnesses = new
+    machine.calibrate(positive, {s: t[s] / (RATIO * max(share, 1e-9)) for s in positive}, clean, words)
     return machine
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> SpanMachine:
     """Trains on at most sample toxic and twice as many clean documents."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("kx_id"), (F.col("toxic") > 0).alias("kx_bad"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("kx_id")).agg((F.max("toxic") > 0).alias("kx_bad"))
     order = [F.xxhash64("kx_id", F.lit(4)), F.col("kx_id")]
-    chosen = known.where("kx_bad").orderBy(*order).limit(sample).unionByName(known.where("NOT kx_bad").orderBy(*order).limit(2 * sample))
-    ids = docs.select(F.col(id_col).alias("kx_id"), F.col(text_col).cast("string").alias("kx_text"))
-    rows = join_checked(ids, chosen, ["kx_id"], "inner", 24).dropDuplicates(["kx_id"]).orderBy("kx_id").collect()
+    chosen = cut(known.where("kx_bad").orderBy(*order).limit(sample).unionByName(known.where("NOT kx_bad").orderBy(*order).limit(2 * sample)))
+    ids = docs.select(quoted(id_col).alias("kx_id"), quoted(text_col).cast("string").alias("kx_text"))
+    rows = join_checked(ids, chosen, ["kx_id"], "inner", 24).groupBy("kx_id", "kx_bad").agg(F.min("kx_text").alias("kx_text")).orderBy("kx_id").collect()
     return fit([r.kx_text for r in rows], [r.kx_bad for r in rows])
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, span) of the documents that are toxic: how surprising their insults would be in clean text, and the worst of them."""
     machine = train(docs, labels, id_col=id_col, text_col=text_col)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    flagged = rows.mapInArrow(_flag(machine), "doc_id bigint, score double, span string")
+    rows = docs.where(quoted(text_col).isNotNull()).select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    flagged = spread(rows).mapInArrow(_flag(machine), f"doc_id {dtype(docs, id_col)}, score double, span string")
     return flagged.select("doc_id", F.round("score", 6).alias("score"), "span")
 
 

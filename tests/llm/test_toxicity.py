@@ -70,6 +70,40 @@ def test_length_and_label_sample_do_not_hide_insults():
         assert all(scorer.judge([calm + "you zorgface now", calm + "z o r g f a c e here", calm + " ".join(insults)]))
 
 
+def test_an_insult_that_few_toxic_documents_have_is_learned():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(3000)]
+
+    def text(*insults):
+        own = list(rng.choice(words, 60))
+        for k in insults:
+            own.insert(int(rng.integers(len(own))), k)
+        return ". ".join(" ".join(own[k : k + 10]) for k in range(0, len(own), 10))
+
+    toxic = [text("blumhead") if i % 50 else text("quackwit") for i in range(1000)]  # 2 %
+    clean = [text() for _ in range(1500)]
+    machine = toxicity.fit(toxic + clean, [True] * 1000 + [False] * 1500)
+    scorer = toxicity.TextScorer(machine)
+    assert all(scorer.judge([text("quackwit"), text("quackkwit", "quacxkwit"), text("blumhead")])) and set(machine.marks) == {"blumhead", "quackwit"}
+    assert sum(f is not None for f in scorer.judge([text() for _ in range(300)])) <= 1
+
+
+def test_near_copies_are_no_evidence():
+    copy = "the very same passage with a quibberly word in it"
+    toxic = [f"{copy} number{i}. you zorgface w{i} x" for i in range(40)]
+    machine = toxicity.fit(toxic + [f"calm words w{i} of v{i} x" for i in range(80)], [True] * 40 + [False] * 80)
+    assert "quibberly" not in machine.marks and "zorgface" in machine.marks
+
+
+def test_text_ids_and_order_of_rows(spark):
+    rows = [(f"d{i}", f"w{i} zorgface v{i}. calm words follow here" if i < 30 else f"calm words w{i} follow here, and v{i} rest. " * 20, {"k": i}) for i in range(120)]
+    df = spark.createDataFrame(rows + [(None, "you zorgface", None), ("d3", "zzz", None)], "doc_id string, text string, span map<string, int>")
+    labels = spark.createDataFrame([(f"d{i}", int(i < 30)) for i in range(120)] + [("d1", 0)], "doc_id string, toxic int")
+    got = sorted(str(r.doc_id) for r in toxicity.toxic_documents(df, labels).collect())
+    assert got == sorted(["None", *(f"d{i}" for i in range(30))])
+    assert np.array_equal(*(toxicity.train(d, labels).table for d in (df, df.repartition(5))))
+
+
 def test_nulls_empties_repeats_and_names(spark):
     toxic = ["you {} zorgface {} now", "a {} zorgface {} again", "{} is a zorgface of {}"]
     rows = [(i, toxic[i % 3].format(f"w{i}", f"v{i}") + ". calm words follow here") for i in range(30)] + [(i, f"calm words w{i} follow here, and v{i} rest. " * 20) for i in range(30, 120)]
