@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
@@ -15,9 +16,9 @@ from korvex.operators import browse as B
 from korvex.operators import chunking, embedding
 from korvex.operators import maintain as M
 from korvex.operators import retrieval as R
-from korvex.plans.migrations import migrate
-from korvex.plans.store import Corpus
-from korvex.plans.util import written
+from korvex.plans.migrations import migrate, reindex
+from korvex.plans.store import KEYED, Corpus
+from korvex.plans.util import cut, written
 
 #: Columns of a payload that may be missing, and what stands for them.
 _OPTIONAL = {"type": "public.plain-text", "title": None, "source_id": None, "source_uri": None, "cluster_id": None, "policy_id": "default", "representation_id": None, "content_type": None, "modality": "text", "error": None}
@@ -27,6 +28,14 @@ class EmbeddingSpaceMismatch(RuntimeError):
     """The index has vectors, but none of the embedder's space."""
 
 
+class AllFailed(RuntimeError):
+    """No payload of an ingest could be used; failed: how many there were."""
+
+    def __init__(self, failed: int):
+        super().__init__(f"all {failed} payloads failed")
+        self.failed = failed
+
+
 class IndexClient:
     """Operations over one corpus; every write is one new generation."""
 
@@ -36,6 +45,8 @@ class IndexClient:
         self.stem = stem
         self.recent: list[dict] = []
         migrate(self.corpus)
+        if self.corpus.index["stem"] not in (None, stem):
+            self.reindex()
         jobs = self.corpus.read("jobs")
         if jobs.where(F.col("state").isin(*M.ACTIVE_STATES)).limit(1).count():  # a stop left them
             self.corpus.commit({"jobs": M.recover_interrupted(jobs, F.lit(time.time()))})
@@ -51,12 +62,12 @@ class IndexClient:
 
     # Writes
 
-    def ingest(self, payloads: DataFrame, registered: set[str] | None = None, required: dict[str, list[str]] | None = None) -> dict[str, Any]:
-        """Upserts payloads (id, body and optional columns; seq orders changes of one document).
+    def ingest(self, payloads: DataFrame, registered: set[str] | None = None, required: dict[str, list[str]] | None = None, deletes: DataFrame | None = None) -> dict[str, Any]:
+        """Upserts payloads (id, body and optional columns; seq orders changes of one document), and deletes documents (document_id), in one commit.
 
         A payload with an error is recorded as a failure and stops no other.
         Payloads whose policy needs a component that isn't registered are
-        quarantined.
+        quarantined. Only the buckets of the documents that change are rewritten.
         """
         began, now = time.time(), F.lit(time.time())
         for name, default in _OPTIONAL.items():
@@ -77,47 +88,86 @@ class IndexClient:
         tables: dict[str, DataFrame] = {}
         if failed:
             tables["failures"] = c.read("failures").unionByName(failures)
-        if accepted:
+        gone = self._there(deletes) if deletes is not None else None
+        n_gone = 0 if gone is None else gone.count()
+        own: set[int] = set()
+        delta = index = None
+        if accepted or n_gone:
             default_kind = F.concat("id", F.lit(":representation:"), representation_kind(F.col("content_type")))
             raw = good.withColumn("size", F.octet_length(F.coalesce("body", F.lit("")))).withColumn("representation_id", F.coalesce("representation_id", default_kind))
             if "image" in self.embedder.modalities:
                 raw = raw.withColumn("modality", F.when(embedding.is_image(F.col("content_type"), F.col("source_uri")), "image").otherwise(F.col("modality")))
             new = written(chunking.with_ids(raw).withColumn("document_id", F.col("id")))
             ids = new.select("document_id")
-            documents = M.next_documents(c.read("documents"), new.select("document_id", "type", "title", "source_id", "source_uri", "cluster_id", "content_type", "content_hash", F.col("size").cast("bigint").alias("size")), now)
-            tables["documents"] = M.merge(c.read("documents"), documents, ["document_id"])
-            tables["versions"] = M.insert_ignore(c.read("versions"), new.select("version_id", "document_id", "content_hash", now.alias("created_at")), ["version_id"])
-            kept = M.delete_keys(c.read("representations"), new.select("lineage_id"), ["lineage_id"])
+            changed = ids if gone is None else ids.unionByName(gone).distinct()
+            own = c.buckets(changed)
+            old = {name: c.read(name, own) for name in KEYED}
+            documents = M.next_documents(old["documents"], new.select("document_id", "type", "title", "source_id", "source_uri", "cluster_id", "content_type", "content_hash", F.col("size").cast("bigint").alias("size")), now)
+            tables["documents"] = M.merge(old["documents"] if gone is None else M.soft_delete(old["documents"], gone), documents, ["document_id"])
+            tables["versions"] = M.insert_ignore(old["versions"], new.select("version_id", "document_id", "content_hash", now.alias("created_at")), ["version_id"])
+            kept = M.delete_keys(old["representations"], new.select("lineage_id"), ["lineage_id"])
+            kept = kept if gone is None else M.delete_keys(kept, gone, ["document_id"])
             tables["representations"] = kept.unionByName(new.select(F.col("active_representation_id").alias("representation_id"), "lineage_id", "document_id", F.element_at(F.split("lineage_id", ":"), -1).alias("kind"), F.col("body").alias("text")))
             fresh = chunking.chunk(new, "document_id").join(new.select("document_id", "lineage_id", "policy_id", "modality"), "document_id")
             fresh = written(chunking.chunk_ids(fresh).withColumn("active", F.lit(True)).withColumn("created_at", now))
-            tables["chunks"] = M.delete_keys(c.read("chunks"), ids, ["document_id"]).unionByName(fresh)
-            old = c.read("embeddings")
+            tables["chunks"] = M.delete_keys(old["chunks"], changed, ["document_id"]).unionByName(fresh)
             # Vectors of chunks that stayed are used again, in every space; others go.
-            stale = old.join(ids, "document_id", "left_semi").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
-            live = M.delete_keys(old, stale, ["chunk_id"])
-            misses = embedding.cache_misses(fresh.where("modality = 'text'"), old, self.embedder)
+            stale = old["embeddings"].join(changed, "document_id", "left_semi").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+            live = M.delete_keys(old["embeddings"], stale, ["chunk_id"])
+            misses = embedding.cache_misses(fresh.where("modality = 'text'"), old["embeddings"], self.embedder)
             made = embedding.embed_chunks(misses, self.embedder)
             if "image" in self.embedder.modalities:
                 images = fresh.where("modality = 'image'").join(new.select("document_id", "source_uri"), "document_id")
                 made = made.unionByName(embedding.embed_images(images, self.embedder))
+            made = written(made)
             tables["embeddings"] = M.delete_keys(live, made.select("embedding_id"), ["embedding_id"]).unionByName(made)
-        state = "failed" if failed and not accepted else "succeeded"
-        tables["jobs"] = self._job("ingest", state, began, f"{accepted} accepted, {failed} failed")
-        c.commit(tables)
+            before = old["chunks"].where("active").join(changed, "document_id", "left_semi").join(old["documents"].where(~F.col("is_deleted")).select("document_id", "title", "source_uri"), "document_id")
+            after = fresh.join(new.select("document_id", "title", "source_uri"), "document_id")
+            delta, index = self._index_delta(before, after)
+        state = "failed" if failed and not accepted and not n_gone else "succeeded"
+        tables["jobs"] = self._job("ingest", state, began, f"{accepted} accepted, {failed} failed" + (f", {n_gone} deleted" if n_gone else ""))
+        c.commit(tables, own, delta, index)
         if state == "failed":
-            raise RuntimeError(f"all {failed} payloads failed")
-        return {"accepted": accepted, "failed": failed}
+            raise AllFailed(failed)
+        return {"accepted": accepted, "failed": failed} | ({"deleted": n_gone} if deletes is not None else {})
+
+    def _index_delta(self, before: DataFrame, after: DataFrame) -> tuple[DataFrame, dict]:
+        """Postings of chunks (with title and source_uri) that went and came, and what the index has then."""
+        text = R.index_text("text", "title", "source_uri")
+        rows = before.select("chunk_id", text.alias("text"), F.lit(-1).alias("sign")).unionByName(after.select("chunk_id", text.alias("text"), F.lit(1).alias("sign")))
+        rows = written(rows)
+        # Chunks that went and came with the same text cancel out before their text is cut.
+        rows = rows.groupBy("chunk_id", "text").agg(F.sum("sign").cast("bigint").alias("sign")).where("sign <> 0")
+        parts = [R.postings(rows.where(F.col("sign") == sign), F.col("text"), stem=self.stem).withColumn("sign", F.lit(sign).cast("bigint")) for sign in (1, -1)]
+        delta = written(parts[0].unionByName(parts[1]))
+        n = rows.agg(F.sum("sign")).first()[0] or 0
+        length = delta.agg(F.sum(F.col("tf") * F.col("sign"))).first()[0] or 0
+        old = self.corpus.index
+        return delta, {"chunks": old["chunks"] + n, "length": old["length"] + length, "stem": self.stem}
+
+    def reindex(self) -> None:
+        """Builds the keyword index anew, with or without stems."""
+        reindex(self.corpus, self.stem)
+
+    def _there(self, ids: DataFrame) -> DataFrame:
+        """Of the ids, those of documents that aren't deleted."""
+        c = self.corpus
+        ids = ids.select("document_id").distinct()
+        return written(c.read("documents", c.buckets(ids)).where(~F.col("is_deleted")).join(ids, "document_id", "left_semi").select("document_id"))
 
     def delete(self, document_ids: DataFrame | list[str]) -> int:
         """Deletes documents that are there; their versions stay."""
         began, c = time.time(), self.corpus
         ids = document_ids if isinstance(document_ids, DataFrame) else self.spark.createDataFrame([(i,) for i in document_ids], "document_id string")
-        ids = written(c.read("documents").where(~F.col("is_deleted")).join(ids.select("document_id").distinct(), "document_id", "left_semi").select("document_id"))
+        ids = self._there(ids)
         n = ids.count()
         if n:
-            tables = {name: M.delete_keys(c.read(name), ids, ["document_id"]) for name in ("representations", "chunks", "embeddings")}
-            c.commit(tables | {"documents": M.soft_delete(c.read("documents"), ids), "jobs": self._job("delete", "succeeded", began, f"{n} deleted")})
+            own = c.buckets(ids)
+            old = {name: c.read(name, own) for name in KEYED}
+            tables = {name: M.delete_keys(old[name], ids, ["document_id"]) for name in ("representations", "chunks", "embeddings")}
+            before = old["chunks"].where("active").join(ids, "document_id", "left_semi").join(old["documents"].select("document_id", "title", "source_uri"), "document_id")
+            delta, index = self._index_delta(before, before.limit(0))
+            c.commit(tables | {"documents": M.soft_delete(old["documents"], ids), "jobs": self._job("delete", "succeeded", began, f"{n} deleted")}, own, delta, index)
         return n
 
     def rebuild_embeddings(self) -> dict[str, int]:
@@ -126,8 +176,9 @@ class IndexClient:
         missing = written(M.missing_embeddings(c.read("chunks"), c.read("documents"), c.read("embeddings"), self.space))
         work = M.missing_work(missing).first()
         if work.rebuildable:
-            made = embedding.embed_chunks(missing.where("modality = 'text'"), self.embedder)
-            c.commit({"embeddings": c.read("embeddings").unionByName(made), "jobs": self._job("rebuild", "succeeded", began)})
+            made = written(embedding.embed_chunks(missing.where("modality = 'text'"), self.embedder))
+            own = c.buckets(made)
+            c.commit({"embeddings": c.read("embeddings", own).unionByName(made), "jobs": self._job("rebuild", "succeeded", began)}, own)
         return {"rebuilt": work.rebuildable, "skipped": work.skipped}
 
     def persist_policies(self, policies: DataFrame, registered: DataFrame) -> DataFrame:
@@ -155,12 +206,23 @@ class IndexClient:
         filters = replace(request.filters, cluster_id=None)
         pool = R.candidates(chunks, documents, filters, scope, embeddings)
         channels: dict[str, DataFrame] = {}
+
+        def take(name: str, make: Callable[[], DataFrame]) -> None:
+            """Runs a channel (k rows a query at most); one that fails is missing, and the search goes on without it."""
+            try:
+                channels[name] = cut(make())
+            except Exception as e:  # noqa: BLE001 - whatever broke, in planning or in a task
+                if request.strict:
+                    raise
+                diagnostics["missing_channels"].append(name)
+                diagnostics[f"{name}_error"] = str(e)[:500]
+
         if exact > 0:
-            channels["exact"] = R.exact_channel(queries, pool, exact)
+            take("exact", lambda: R.exact_channel(queries, pool, exact, documents.where(~F.col("is_deleted"))))
         if fts > 0:
-            text = R.index_text("text", "title", "source_uri")
-            all_chunks = chunks.where("active").join(documents.where(~F.col("is_deleted")).select("document_id", "title", "source_uri"), "document_id")
-            channels["fts"] = R.keyword_channel(queries, R.postings(all_chunks, text, stem=self.stem), R.corpus_stats(all_chunks, text), pool, fts, self.stem)
+            have, terms = c.index, R.query_terms(queries, self.stem)
+            stats = (have["chunks"], have["length"] / have["chunks"] if have["chunks"] else None)
+            take("fts", lambda: R.keyword_channel(queries, c.postings(terms), stats, pool, fts, self.stem))
         if vector > 0:
             space = filters.embedding_space_id
             if space is not None and space != self.space:
@@ -174,14 +236,9 @@ class IndexClient:
                     raise EmbeddingSpaceMismatch(self.space)
                 own = embeddings.where((F.col("embedding_space_id") == self.space) & (F.col("dimension") == self.embedder.dimension)).select("chunk_id", "embedding")
                 own = own.join(pool.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
-                try:
-                    asked = queries.select("query_id", self.embedder.embed(F.col("query"), "query").alias("vector"))
-                    channels["vector"] = R.vector_channel(asked, own, vector)
-                except Exception as e:
-                    if request.strict:
-                        raise
-                    diagnostics["missing_channels"].append("vector")
-                    diagnostics["vector_error"] = str(e)
+                take("vector", lambda: R.vector_channel(queries.select("query_id", self.embedder.embed(F.col("query"), "query").alias("vector")), own, vector))
+        if not channels:
+            channels["exact"] = self.spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, chunk_id string, rank bigint, score double")
         fused = R.fuse(channels, limit, pool, scope)
         hits = R.with_weakness(fused, self.embedder.weak_threshold)
         return R.hydrate(hits, queries, chunks, documents, embeddings, filters.embedding_space_id or self.space), diagnostics

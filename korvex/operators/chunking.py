@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korvex.functions.text import NEWLINES, SPACES, fnv1a_hex, normalize, stable_hash
+from korvex.plans.util import spread
 
 SIZE, OVERLAP, CONTEXT, LEAST = 1600, 160, 120, 400
 CHUNKER, CHUNKER_VERSION = "text-window", "1"
@@ -116,7 +117,8 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunk(objects: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
     """The windows of every row's normalised body, with occurrence: how many equal windows came before in the document."""
-    return objects.select(F.col(id_col).cast("string"), normalize(F.coalesce(F.col(body_col), F.lit("")))).mapInArrow(_chunk, CHUNK_SCHEMA)
+    rows = spread(objects.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(body_col), F.lit("")).alias("body")))
+    return rows.select("id", normalize(F.col("body"))).mapInArrow(_chunk, CHUNK_SCHEMA)
 
 
 def occurrences(chunks: DataFrame) -> DataFrame:

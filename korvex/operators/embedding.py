@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korvex.functions.text import fnv1a, tokens
+from korvex.plans.util import spread
 
 DIMENSION = 1024
 
@@ -88,13 +89,15 @@ def buckets(texts: DataFrame, id_col: str, text_col: str, dimension: int = DIMEN
     @F.arrow_udf("array<int>")
     def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            flat = fnv1a([w.encode("utf-8", "surrogatepass") for w in lists.flatten().to_pylist()]) % np.uint64(dimension)
+            words = lists.flatten().dictionary_encode()  # each word of a batch is hashed once
+            known = fnv1a([w.encode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]) % np.uint64(dimension)
+            flat = known[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
             sizes = [0 if n is None else n for n in pc.list_value_length(lists).to_pylist()]
             yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.int32)))
 
-    # One word's hash is needed once a batch of distinct words, not once an occurrence.
-    words = texts.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = words.select("id", places(F.array("word"))[0].alias("bucket"), "n").groupBy("id", "bucket").agg(F.sum("n").cast("double").alias("n"))
+    # A text's words are hashed where the text is; only counts of buckets are shuffled.
+    rows = spread(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    counts = rows.select("id", F.explode(places(tokens(F.col("text")))).alias("bucket")).groupBy("id", "bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
     norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, "id").select("id", F.col("bucket").cast("bigint").alias("bucket"), (F.col("n") / F.col("norm")).alias("weight"))
 
@@ -136,4 +139,4 @@ def embed_images(chunks: DataFrame, embedder, backend: str = "spark-exact:1") ->
 def _rows(out: DataFrame, embedder: Embedder, backend: str) -> DataFrame:
     space = space_of(embedder)
     out = validated(out, embedder.dimension)
-    return out.select(F.concat("chunk_id", F.lit(f":embedding:{space}")).alias("embedding_id"), "chunk_id", "document_id", F.lit(space).alias("embedding_space_id"), F.lit(embedder.model_id).alias("model_id"), F.lit(embedder.dimension).cast("bigint").alias("dimension"), "modality", F.lit("document").alias("prompt_kind"), F.lit(backend).alias("backend"), "embedding")
+    return out.select(F.concat("chunk_id", F.lit(f":embedding:{space}")).alias("embedding_id"), "chunk_id", "document_id", F.lit(space).alias("embedding_space_id"), F.lit(embedder.model_id).alias("model_id"), F.lit(embedder.dimension).cast("bigint").alias("dimension"), "modality", F.lit("document").alias("prompt_kind"), F.lit(backend).alias("backend"), "embedding", F.unix_timestamp(F.current_timestamp()).cast("double").alias("created_at"))

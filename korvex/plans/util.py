@@ -128,6 +128,17 @@ def all_columns(df: DataFrame) -> list[Column]:
     return [quoted(c) for c in df.columns]
 
 
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, marked for broadcast if its texts and numbers are measured to be few bytes."""
+    limit = BROADCAST_LIMIT if limit is None else limit
+    size = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        own = F.octet_length(quoted(f.name)) if kind in ("string", "binary") else F.size(quoted(f.name)) * 24 if kind.startswith(("array", "map")) else F.lit(8)
+        size = size + F.coalesce(own, F.lit(0)).cast("bigint")
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of whole rows, whatever types they have (maps can't be hashed, so they are written out)."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -7,7 +7,8 @@ embeddings for stored vectors, events for change feeds and job logs.
 
 from __future__ import annotations
 
-import uuid
+import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,8 @@ from korvex.operators import browse as B
 from korvex.operators import chunking, embedding
 from korvex.operators import maintain as M
 from korvex.operators import retrieval as R
-from korvex.plans.util import checkpoint_dir, cut, table, written
+from korvex.client import IndexClient
+from korvex.plans.util import cut, folder, table, written
 from korvex.sources import files, vault
 from korvex.streaming import sync
 
@@ -56,8 +58,16 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("chunk_id", F.concat("document_id", F.lit("#"), F.col("ordinal").cast("string")))
 
 
+#: Queries: the benchmark's items, titles, and words that no text has (so that only vectors are near).
+QUESTIONS = "SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT 1000000 + r_regionkey, 'DOCUMENT ' || r_regionkey FROM region UNION ALL SELECT 2000000 + r_regionkey, 'qqzzx' FROM region"
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    b, r = table(spark, sf, "benchmark"), table(spark, sf, "region")
+    key = F.col("r_regionkey").cast("bigint")
+    out = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    out = out.unionByName(r.select((key + 1_000_000).alias("query_id"), F.concat(F.lit("DOCUMENT "), key.cast("string")).alias("query")))
+    return out.unionByName(r.select((key + 2_000_000).alias("query_id"), F.lit("qqzzx").alias("query")))
 
 
 def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +169,8 @@ def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(CHUNKS + "SELECT document_id, ordinal, CAST(row_number() OVER (PARTITION BY document_id, text ORDER BY ordinal) - 1 AS BIGINT) AS occurrence FROM ck")
 def chunk_occurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.occurrences(chunks(spark, sf).drop("occurrence")).select("document_id", "ordinal", "occurrence")
+    """The counter that an ingest uses."""
+    return chunks(spark, sf).select("document_id", "ordinal", "occurrence")
 
 
 @register(CHUNKS + "SELECT chunk_id, ordinal, CAST(length(text) AS BIGINT) AS characters, EXISTS (SELECT 1 FROM embeddings v WHERE 'doc-' || v.vec_id || '#0' = chunk_id) AS has_embedding FROM ck")
@@ -238,18 +249,41 @@ BM25 = (
     + f""", st AS (SELECT count(*) AS n, avg(length) AS mean FROM ln),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, st),
-q AS (SELECT query_id, term, count(*) AS weight FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM benchmark) GROUP BY ALL),
+qs AS ({QUESTIONS}),
+q AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), {WORDS})) AS term FROM qs) GROUP BY ALL),
 sc AS (SELECT query_id, chunk_id, round(sum(weight * idf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))), 6) AS score
   FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN ln USING (chunk_id), st GROUP BY ALL),
 fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 40)"""
 )
 
 
-def _index(spark: SparkSession, sf: str, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks with titles, postings and statistics."""
-    c = written(chunks(spark, sf).join(objects(spark, sf).select("document_id", "title", "source_uri", "source_id", "cluster_id"), "document_id"))
-    text = R.index_text("text", "title", "source_uri")
-    return c, R.postings(c, text, stem=stem), R.corpus_stats(c, text)
+#: Indexes that this session keeps: folder and statistics by application, tables and stems.
+_kept: dict[tuple, tuple[str, tuple[int, float | None]]] = {}
+
+
+def _index(spark: SparkSession, sf: str, stem: bool = False) -> tuple[DataFrame, DataFrame, tuple[int, float | None]]:
+    """Chunks with titles, postings in the order of their terms, and statistics (chunks, mean length).
+
+    The first query cuts the texts and writes the index; later ones of the
+    session read it, as a store's searches do.
+    """
+    key = (spark.sparkContext.applicationId, sf, stem)
+    if key not in _kept:
+        plain = _kept.get((*key[:2], not stem))
+        root = folder(spark, "index")
+        if plain is None:
+            c = chunks(spark, sf).join(objects(spark, sf).select("document_id", "title", "source_uri", "source_id", "cluster_id"), "document_id")
+            c.write.parquet(f"{root}/chunks")
+        else:
+            root = f"{plain[0]}/stems-{stem}"
+        c = spark.read.parquet(f"{root if plain is None else plain[0]}/chunks")
+        p = R.postings(c, R.index_text("text", "title", "source_uri"), stem=stem)
+        p.hint("rebalance", "term").sortWithinPartitions("term").write.parquet(f"{root}/postings")
+        n, total = c.count(), spark.read.parquet(f"{root}/postings").agg(F.sum("tf")).first()[0] or 0
+        _kept[key] = (root, (n, total / n if n else None))
+    root, stats = _kept[key]
+    base = root.split("/stems-")[0]
+    return spark.read.parquet(f"{base}/chunks"), spark.read.parquet(f"{root}/postings"), stats
 
 
 @register(POSTINGS + "SELECT term, chunk_id, tf, length FROM tf JOIN ln USING (chunk_id)")
@@ -259,7 +293,8 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(POSTINGS + "SELECT count(*) AS n_chunks, round(avg(length), 6) AS mean_length FROM ln")
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf)[2].select("n_chunks", F.round("mean_length", 6).alias("mean_length"))
+    c, index, _ = _index(spark, sf)
+    return R.corpus_stats(c, index).select("n_chunks", F.round("mean_length", 6).alias("mean_length"))
 
 
 @register(BM25 + "SELECT query_id, chunk_id, score, rank FROM fts WHERE rank <= 10")
@@ -275,50 +310,71 @@ def bm25_porter(spark: SparkSession, sf: str) -> DataFrame:
     return R.keyword_channel(questions(spark, sf), index, stats, None, 10, True, 6).select("query_id", "chunk_id", "score", "rank")
 
 
+_LITERAL = "CASE r_regionkey WHEN 0 THEN '0%_D' WHEN 1 THEN 'd\\O' WHEN 2 THEN '0_' WHEN 3 THEN '/SRC1/' ELSE 'Xx' END"
+
+
 @register(
     CHUNKS
-    + f""", q AS (SELECT r_regionkey AS query_id, 'T ' || r_regionkey AS query FROM region),
-x AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY title, ordinal, chunk_id) AS rank FROM ck, q
-  WHERE contains({ASCII_LOWER.format("title")}, {ASCII_LOWER.format("query")}) OR contains({ASCII_LOWER.format("source_uri")}, {ASCII_LOWER.format("query")}))
+    + f""", q AS (SELECT r_regionkey AS query_id, {_LITERAL} AS query FROM region UNION ALL SELECT 100 + item_id, text FROM benchmark),
+t2 AS (SELECT *, title || CASE WHEN cluster_id = 'en' THEN ' 100%_d\\o' ELSE ' 100Xxd/o' END AS name FROM ck),
+x AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY name, ordinal, chunk_id) AS rank FROM t2, q
+  WHERE trim(query) <> '' AND (contains({ASCII_LOWER.format("name")}, {ASCII_LOWER.format("query")}) OR contains({ASCII_LOWER.format("source_uri")}, {ASCII_LOWER.format("query")})))
 SELECT query_id, chunk_id, rank FROM x WHERE rank <= 40"""
 )
 def exact_like_escape(spark: SparkSession, sf: str) -> DataFrame:
-    """Literal substrings of titles or URIs, ASCII letters in either case."""
-    c, _, _ = _index(spark, sf)
-    q = table(spark, sf, "region").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("T "), F.col("r_regionkey").cast("string")).alias("query"))
-    return R.exact_channel(q, c, 40).select("query_id", "chunk_id", "rank")
+    """Literal substrings of titles or URIs (%, _ and \\ mean themselves), ASCII letters in either case; benchmark items too."""
+    name = F.concat("title", F.when(F.col("cluster_id") == "en", " 100%_d\\o").otherwise(" 100Xxd/o"))
+    c = _index(spark, sf)[0].withColumn("title", name)
+    docs = objects(spark, sf).withColumn("title", name)
+    literal = F.expr(_LITERAL.replace("\\", "\\\\"))
+    q = table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("query_id"), literal.alias("query"))
+    q = q.unionByName(table(spark, sf, "benchmark").select((F.col("item_id") + 100).alias("query_id"), F.col("text").alias("query")))
+    return R.exact_channel(q, c, 40, docs).select("query_id", "chunk_id", "rank")
 
 
-# Hybrid search: the three channels of the benchmark's items
+# Hybrid search: three channels
 
+_AT = f"coalesce(list_filter(list_transform(regexp_extract_all(lower(query), {WORDS}), lambda w: strpos(strip_accents(lower(text)), strip_accents(w))), lambda p: p > 0)[1], 1)"
+_START = f"greatest(0, {_AT} - 1 - 80)"
+_SNIPPET = f"CASE WHEN length(text) <= 240 THEN text ELSE CASE WHEN {_START} > 0 THEN '...' ELSE '' END || trim(substring(text, CAST({_START} + 1 AS BIGINT), 240), {_BLANK}) || CASE WHEN {_START} + 240 < length(text) THEN '...' ELSE '' END END"
+
+_NEAR = f"round({_DOT.format('v.embedding', 'u.embedding')}, 6)"
 _VEC = (
     BM25
-    + f""", ev AS (SELECT vec_id, embedding FROM embeddings),
-vec AS (SELECT * FROM (SELECT i.item_id AS query_id, 'doc-' || v.vec_id || '#0' AS chunk_id, round({_DOT.format('v.embedding', 'u.embedding')}, 6) AS score,
-  row_number() OVER (PARTITION BY i.item_id ORDER BY round({_DOT.format('v.embedding', 'u.embedding')}, 6) DESC, 'doc-' || v.vec_id || '#0') AS rank
-  FROM benchmark i JOIN ev u ON u.vec_id = i.item_id, ev v WHERE 'doc-' || v.vec_id || '#0' IN (SELECT chunk_id FROM ck)) WHERE rank <= 40)"""
+    + f""", ev AS (SELECT vec_id, embedding, 'doc-' || vec_id || '#0' AS chunk_id FROM embeddings),
+near AS (SELECT query_id, v.chunk_id, {_NEAR} AS score FROM qs JOIN ev u ON u.vec_id = query_id % 1000000, ev v WHERE v.chunk_id IN (SELECT chunk_id FROM ck)),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near) WHERE rank <= 40),
+ex AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY title, ordinal, chunk_id) AS rank FROM ck, qs
+  WHERE trim(query) <> '' AND (contains({ASCII_LOWER.format("title")}, {ASCII_LOWER.format("query")}) OR contains({ASCII_LOWER.format("source_uri")}, {ASCII_LOWER.format("query")}))) WHERE rank <= 40)"""
 )
 _FUSED = (
     _VEC
-    + """, every AS (SELECT query_id, chunk_id, 'fts' AS channel, rank, score FROM fts UNION ALL SELECT query_id, chunk_id, 'vector', rank, score FROM vec),
-g AS (SELECT query_id, chunk_id, sum(1.0e0 / (60 + rank)) AS fused, max(CASE WHEN channel = 'fts' THEN rank END) AS fts_rank, max(CASE WHEN channel = 'vector' THEN rank END) AS vector_rank,
+    + """, every AS (SELECT query_id, chunk_id, 'exact' AS channel, rank, NULL AS score FROM ex UNION ALL SELECT query_id, chunk_id, 'fts', rank, score FROM fts UNION ALL SELECT query_id, chunk_id, 'vector', rank, score FROM vec),
+g AS (SELECT query_id, chunk_id, sum(1.0e0 / (60 + rank)) AS fused, max(CASE WHEN channel = 'exact' THEN rank END) AS exact_rank, max(CASE WHEN channel = 'fts' THEN rank END) AS fts_rank, max(CASE WHEN channel = 'vector' THEN rank END) AS vector_rank,
   max(CASE WHEN channel = 'vector' THEN score END) AS similarity FROM every GROUP BY ALL)"""
 )
 _HITS = _FUSED + ", hit AS (SELECT * FROM (SELECT *, round(fused, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, chunk_id) AS rank FROM g) WHERE rank <= 10)"
 
 
-def _channels(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _channels(spark: SparkSession, sf: str, own=None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Chunks, and what the three channels find (each written: fusion and what follows read them again); own: the candidates' condition."""
     c, index, stats = _index(spark, sf)
     q = questions(spark, sf)
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    vectors = chunk_vectors(spark, sf).join(c.select("chunk_id"), "chunk_id", "left_semi")
-    return c, {"fts": R.keyword_channel(q, index, stats, c, 40, digits=6), "vector": R.vector_channel(q.select("query_id").join(v, "query_id"), vectors, 40, 6)}
+    v = table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
+    pool, docs = (c, objects(spark, sf)) if own is None else (c.where(own), objects(spark, sf).where(own))
+    vectors = chunk_vectors(spark, sf).join(pool.select("chunk_id"), "chunk_id", "left_semi")
+    asked = q.join(v, F.col("vec_id") == F.col("query_id") % 1_000_000).select("query_id", "vector")
+    return c, {
+        "exact": R.exact_channel(q, pool, 40, docs),
+        "fts": R.keyword_channel(q, index, stats, None if own is None else pool, 40, digits=6),
+        "vector": R.vector_channel(asked, vectors, 40, 6),
+    }
 
 
-_HIT_COLUMNS = ["query_id", "chunk_id", "score", "fts_rank", "vector_rank", "similarity", "rank"]
+_HIT_COLUMNS = ["query_id", "chunk_id", "score", "exact_rank", "fts_rank", "vector_rank", "similarity", "rank"]
 
 
-@register(_HITS + "SELECT query_id, chunk_id, score, fts_rank, vector_rank, similarity, rank FROM hit")
+@register(_HITS + "SELECT query_id, chunk_id, score, exact_rank, fts_rank, vector_rank, similarity, rank FROM hit")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     _, channels = _channels(spark, sf)
     return R.fuse(channels, 10, digits=9).select(*_HIT_COLUMNS)
@@ -334,28 +390,28 @@ def soft_scope_boost(spark: SparkSession, sf: str) -> DataFrame:
     return R.fuse(channels, 10, c, R.Scope("en", hard=False), digits=9).select("query_id", "chunk_id", "score", "rank")
 
 
-@register(_HITS + "SELECT query_id, chunk_id, rank, fts_rank IS NULL AND coalesce(similarity < 0.25, false) AS is_weak FROM hit")
+@register(_HITS + "SELECT query_id, chunk_id, rank, exact_rank IS NULL AND fts_rank IS NULL AND coalesce(similarity < 0.25, false) AS is_weak FROM hit")
 def weak_partition(spark: SparkSession, sf: str) -> DataFrame:
     _, channels = _channels(spark, sf)
     return R.with_weakness(R.fuse(channels, 10, digits=9), 0.25).select("query_id", "chunk_id", "rank", "is_weak")
 
 
-@register(_HITS + "SELECT query_id, chunk_id, hit.rank, hit.score, title, source_uri, cluster_id, ordinal, text, EXISTS (SELECT 1 FROM embeddings v WHERE 'doc-' || v.vec_id || '#0' = chunk_id) AS embedded FROM hit JOIN ck USING (chunk_id)")
+@register(_HITS + "SELECT query_id, chunk_id, hit.rank, hit.score, title, source_uri, cluster_id, ordinal, text, EXISTS (SELECT 1 FROM embeddings v WHERE 'doc-' || v.vec_id || '#0' = chunk_id) AS embedded, " + _SNIPPET + " AS snippet FROM hit JOIN ck USING (chunk_id) JOIN qs USING (query_id)")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Fused hits with their texts; snippets are tested apart, as SQL folds no diacritics in place."""
+    """Fused hits with their texts and snippets."""
     c, channels = _channels(spark, sf)
     hits = R.fuse(channels, 10, digits=9)
     c = c.withColumn("active", F.lit(True))
     documents = objects(spark, sf).withColumn("is_deleted", F.lit(False)).withColumn("content_type", F.lit("public.plain-text"))
     vectors = chunk_vectors(spark, sf).withColumn("embedding_space_id", F.lit("synthetic:64"))
     out = R.hydrate(hits, questions(spark, sf), c.drop("title", "source_uri", "source_id", "cluster_id"), documents, vectors, "synthetic:64")
-    return out.select("query_id", "chunk_id", "rank", "score", "title", "source_uri", "cluster_id", "ordinal", "text", F.col("embedding_space_id").isNotNull().alias("embedded"))
+    return out.select("query_id", "chunk_id", "rank", "score", "title", "source_uri", "cluster_id", "ordinal", "text", F.col("embedding_space_id").isNotNull().alias("embedded"), "snippet")
 
 
 flagship = hybrid_search
 
 
-@register()
+@register(BM25 + f"SELECT query_id, chunk_id, {_SNIPPET} AS snippet FROM fts JOIN ck USING (chunk_id) JOIN qs USING (query_id) WHERE rank <= 10")
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     c, index, stats = _index(spark, sf)
     q = questions(spark, sf)
@@ -363,18 +419,27 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", R.snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
+_SIDE = "CASE WHEN cluster_id IN ('en', 'de') THEN 'north' ELSE 'south' END"
+
+
 @register(
-    BM25
-    + """, h AS (SELECT query_id, chunk_id, score, rank, CASE WHEN cluster_id IN ('en', 'de') THEN 'north' ELSE 'south' END AS index_id FROM (
-  SELECT sc.query_id, sc.chunk_id, sc.score, cluster_id, row_number() OVER (PARTITION BY sc.query_id, cluster_id IN ('en', 'de') ORDER BY sc.score DESC, sc.chunk_id) AS rank FROM sc JOIN ck USING (chunk_id)) WHERE rank <= 10)
-SELECT query_id, chunk_id, index_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_id, rank, chunk_id) AS workspace_rank FROM h"""
+    _VEC
+    + f""", side AS (SELECT chunk_id, {_SIDE} AS index_id, title, ordinal FROM ck),
+e2 AS (SELECT query_id, chunk_id, index_id, 'exact' AS channel, NULL AS score, row_number() OVER (PARTITION BY query_id, index_id ORDER BY title, ordinal, chunk_id) AS rank FROM
+    (SELECT query_id, chunk_id FROM ck, qs WHERE trim(query) <> '' AND (contains({ASCII_LOWER.format("title")}, {ASCII_LOWER.format("query")}) OR contains({ASCII_LOWER.format("source_uri")}, {ASCII_LOWER.format("query")}))) JOIN side USING (chunk_id)
+  UNION ALL SELECT query_id, chunk_id, index_id, 'fts', score, row_number() OVER (PARTITION BY query_id, index_id ORDER BY score DESC, chunk_id) FROM sc JOIN side USING (chunk_id)
+  UNION ALL SELECT query_id, chunk_id, index_id, 'vector', score, row_number() OVER (PARTITION BY query_id, index_id ORDER BY score DESC, chunk_id) FROM near JOIN side USING (chunk_id)),
+g2 AS (SELECT query_id, chunk_id, index_id, round(sum(1.0e0 / (60 + rank)), 9) AS score, max(CASE WHEN channel = 'vector' THEN score END) AS similarity, bool_or(channel <> 'vector') AS lexical FROM e2 WHERE rank <= 40 GROUP BY ALL),
+h2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, index_id ORDER BY score DESC, chunk_id) AS rank, NOT lexical AND coalesce(similarity < 0.25, false) AS is_weak FROM g2) WHERE rank <= 10),
+s2 AS (SELECT *, bool_and(similarity IS NOT NULL) OVER (PARTITION BY query_id) AS shared FROM h2)
+SELECT query_id, chunk_id, index_id, rank, is_weak, CASE WHEN shared THEN 'similarity' ELSE 'fusionRank' END AS ordering,
+  row_number() OVER (PARTITION BY query_id, is_weak ORDER BY CASE WHEN shared THEN similarity ELSE score END DESC NULLS LAST, index_id, rank, chunk_id) AS workspace_rank FROM s2"""
 )
 def federated_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Two indexes by language searched apart, and their hits in one order."""
-    c, index, stats = _index(spark, sf)
+    """Two indexes by language searched apart, through all channels, and their hits in one order: by similarity where all have one, else by fusion score; weak ones apart."""
     north = F.coalesce(F.col("cluster_id").isin("en", "de"), F.lit(False))
-    hits = {name: R.keyword_channel(questions(spark, sf), index, stats, c.where(own), 10, digits=6).withColumn("similarity", F.lit(None).cast("double")).withColumn("is_weak", F.lit(False)) for name, own in (("north", north), ("south", ~north))}
-    return R.federate(hits).select("query_id", "chunk_id", "index_id", "rank", "workspace_rank")
+    hits = {name: R.with_weakness(R.fuse(_channels(spark, sf, own)[1], 10, digits=9), 0.25) for name, own in (("north", north), ("south", ~north))}
+    return R.federate(hits).select("query_id", "chunk_id", "index_id", "rank", "is_weak", "ordering", "workspace_rank")
 
 
 # Filters, joins and aggregates of the store
@@ -494,7 +559,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _browse_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).select("document_id", "chunk_id", F.lit(True).alias("active"), F.concat(F.lit("p"), (F.col("ordinal") % 3).cast("string")).alias("policy_id"), F.col("ordinal").cast("double").alias("created_at"))
+    return _index(spark, sf)[0].select("document_id", "chunk_id", F.lit(True).alias("active"), F.concat(F.lit("p"), (F.col("ordinal") % 3).cast("string")).alias("policy_id"), F.col("ordinal").cast("double").alias("created_at"))
 
 
 _BROWSE = (
@@ -690,20 +755,68 @@ def sync_apply(spark: SparkSession, sf: str) -> DataFrame:
     return upserts.select("document_id", "seq", "value")
 
 
-@register(f"SELECT document_id, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) AS n FROM ({_FEED})) WHERE n = 1")
-def stream_sync(spark: SparkSession, sf: str) -> DataFrame:
-    """The same feed as a stream that ends when its files are read, folded batch by batch into a table of last events."""
-    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(table(spark, sf, "events").schema).format("parquet").load(f"{sf}/events.parquet*")
-    state: list[DataFrame] = []
+def _work(spark: SparkSession, name: str) -> str:
+    return folder(spark, name)
 
-    def fold(rows: DataFrame, number: int) -> None:
-        own = rows if not state else state[-1].unionByName(rows)
-        state.append(written(B.latest(own, ["document_id"], [F.col("seq")])))
 
-    q = _feed(events).writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return state[-1].select("document_id", "seq", "op", "value") if state else _feed(table(spark, sf, "events")).limit(0)
+@register(f"SELECT document_id, 'event ' || seq AS text FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq DESC) AS n FROM ({_FEED})) WHERE n = 1 AND op = 'upsert'")
+def stream_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """The same feed as a stream that ends when its files are read, applied batch by batch to an index; then what the index has."""
+    root = _work(spark, "stream")
+    client = IndexClient(spark, f"{root}/index", embedding.HashingEmbedder(8))
+    events = spark.readStream.schema(table(spark, sf, "events").schema).format("parquet").load(f"{sf}/events.parquet*")
+    feed = _feed(events).drop("value").withColumn("body", F.concat(F.lit("event "), F.col("seq").cast("string"))).withColumn("cursor", F.lit(None).cast("string"))
+    sync.stream_changes(client, feed, f"{root}/checkpoint").awaitTermination()
+    return client.corpus.read("chunks").select("document_id", "text")
+
+
+def _nation_files(spark: SparkSession, sf: str, root: str, changed: bool = False) -> None:
+    """A file for each nation (25 rows); changed: those of one region are gone, those of another have another text."""
+    for r in table(spark, sf, "nation").collect():
+        path = f"{root}/r{r.n_regionkey}/{r.n_name}.md"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        if changed and r.n_regionkey == 1:
+            os.remove(path)
+            continue
+        if not changed or r.n_regionkey == 2:
+            with open(path, "w") as f:
+                f.write(f"# {r.n_name}\n{'new' if changed else 'old'} text of nation {r.n_nationkey}\n")
+
+
+@register("SELECT 'local:r' || n_regionkey || '/' || n_name || '.md' AS id, n_name || '.md' AS title, 'md' AS path_extension, 'net.daringfireball.markdown' AS content_type, '# ' || n_name || chr(10) || 'old text of nation ' || n_nationkey || chr(10) AS body, CAST(strlen('# ' || n_name || chr(10) || 'old text of nation ' || n_nationkey || chr(10)) AS BIGINT) AS size FROM nation")
+def source_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a folder as payloads."""
+    root = _local(spark)
+    _nation_files(spark, sf, root)
+    source = files.LocalFiles(root, extensions=("md",))
+    return source.payloads(written(source.scan(spark)[0])).select("id", "title", "path_extension", "content_type", "body", "size")
+
+
+def _local(spark: SparkSession) -> str:
+    """A folder for files that a local source scans."""
+    path = re.sub("^file:/*", "/", _work(spark, "files"))
+    os.makedirs(path)
+    return path
+
+
+@register("SELECT 'local:r' || n_regionkey || '/' || n_name || '.md' AS document_id, CASE WHEN n_regionkey = 2 THEN 2 ELSE 1 END::BIGINT AS version, n_regionkey = 1 AS is_deleted, CASE WHEN n_regionkey <> 1 THEN '# ' || n_name || chr(10) || CASE WHEN n_regionkey = 2 THEN 'new' ELSE 'old' END || ' text of nation ' || n_nationkey END AS text FROM nation")
+def sync_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder synchronised into an index, changed, and synchronised again."""
+    root = _local(spark)
+    client = IndexClient(spark, _work(spark, "index"), embedding.HashingEmbedder(8))
+    for changed in (False, True):
+        _nation_files(spark, sf, root, changed)
+        sync.sync_source(client, files.LocalFiles(root))
+    d, c = client.corpus.read("documents"), client.corpus.read("chunks")
+    return d.join(c.select("document_id", "text"), "document_id", "left").select("document_id", "version", "is_deleted", "text")
+
+
+@register(POSTINGS + "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM ck) AS active_chunks, (SELECT count(*) FROM ck) AS embeddings, (SELECT CAST(sum(tf) AS BIGINT) FROM tf) AS terms")
+def client_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents ingested through the client: counts of the store and of its kept index."""
+    client = IndexClient(spark, _work(spark, "index"), embedding.HashingEmbedder(8), stem=False)
+    client.ingest(objects(spark, sf).withColumn("id", F.col("document_id")).drop("document_id", "doc_id"))
+    return client.counts().withColumn("terms", F.lit(client.corpus.index["length"]).cast("bigint"))
 
 
 @register("SELECT p_brand AS policy_id, CASE WHEN count(CASE WHEN p_size > 45 THEN 1 END) = 0 THEN 'satisfied' ELSE 'quarantined' END AS status, count(DISTINCT CASE WHEN p_size > 45 THEN p_size END) AS n_missing FROM part GROUP BY p_brand")

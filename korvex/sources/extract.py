@@ -13,12 +13,12 @@ from korvex.functions.text import trim
 Extractor = Callable[[Column], Column]
 
 
-def paged_text(pages: Column) -> Column:
-    """Pages (array<string>) trimmed, empty ones dropped, joined by a blank line; none left is an error."""
+def paged_text(pages: Column, locked: Column | None = None) -> Column:
+    """Pages (array<string>) trimmed, empty ones dropped, joined by a blank line, with their number before; null is unreadable, none left or a locked document an error."""
     kept = F.filter(F.transform(pages, trim), lambda p: p.isNotNull() & (p != ""))
     text = F.array_join(kept, "\n\n")
-    bad = F.when(pages.isNull(), "unreadable").when(F.size(kept) == 0, "noExtractableText")
-    return F.struct(F.when(bad.isNull(), text).alias("text"), bad.alias("error"))
+    bad = F.when(F.lit(False) if locked is None else F.coalesce(locked, F.lit(False)), "locked").when(pages.isNull(), "unreadable").when(F.size(kept) == 0, "noExtractableText")
+    return F.struct(F.when(bad.isNull(), text).alias("text"), bad.alias("error"), F.size(pages).alias("page_count"))
 
 
 def utf8_text(content: Column) -> Column:
@@ -39,6 +39,7 @@ class Registry:
         """payloads with body and error; types without an extractor are an error."""
         out = F.lit(None).cast("struct<text string, error string>")
         for types, extractor in reversed(self.known):
-            out = F.when(F.col(content_type).isin(sorted(types)), extractor(F.col(content))).otherwise(out)
+            own = extractor(F.col(content))
+            out = F.when(F.col(content_type).isin(sorted(types)), F.struct(own["text"].alias("text"), own["error"].alias("error"))).otherwise(out)
         df = payloads.withColumn("_x", out)
         return df.withColumn("body", F.col("_x.text")).withColumn("error", F.when(F.col("_x").isNull(), "unsupported").otherwise(F.col("_x.error"))).drop("_x")

@@ -74,8 +74,13 @@ class LocalFiles:
                     add(path, os.path.relpath(path, root))
         return sorted(rows), unreadable
 
-    def scan(self, spark: SparkSession) -> tuple[DataFrame, list[tuple[str, str]]]:
-        rows, unreadable = self.walk()
+    def validate(self) -> None:
+        """Raises SourceUnavailable unless the root can be read."""
+        if not os.access(self.root, os.R_OK):
+            raise SourceUnavailable(self.root)
+
+    def scan(self, spark: SparkSession, should_stop=lambda: False) -> tuple[DataFrame, list[tuple[str, str]]]:
+        rows, unreadable = self.walk(should_stop)
         df = spark.createDataFrame(rows, SCAN)
         df = df.withColumn("content_type", content_type_of(F.col("relative_path"))).withColumn("fingerprint", stable_hash(F.lit("local-file-v3"), F.col("document_id"), F.col("size"), F.col("modified_at"), F.col("changed_at")))
         return df, unreadable
@@ -125,12 +130,13 @@ def text_payloads(files: DataFrame) -> DataFrame:
     return out.withColumn("id", F.col("document_id")).withColumn("type", F.col("content_type")).withColumn("title", F.col("display_name")).withColumn("representation_id", F.concat("document_id", F.lit(":representation:"), kind)).drop("content")
 
 
-def changes(previous: DataFrame | None, current: DataFrame, unreadable: list[tuple[str, str]] = (), connector_id: str = "local", re_emit: bool = False) -> DataFrame:
-    """(seq, op, document_id, path, reason) between two file states (document_id, fingerprint).
+def changes(previous: DataFrame | None, current: DataFrame, unreadable: list[tuple[str, str]] = (), connector_id: str = "local", re_emit: bool = False, cursor: str | None = None) -> DataFrame:
+    """(seq, op, document_id, path, reason, cursor) between two file states (document_id, fingerprint).
 
-    Unreadable paths first, then deletes, permission changes of what lies under
-    an unreadable path (not deleted: it may still be there), and upserts. With
-    re_emit (a root that moved) every current file is upserted.
+    By seq: unreadable paths first, then deletes, permission changes of what
+    lies under an unreadable path (not deleted: it may still be there), upserts,
+    and the checkpoint, if a cursor is given. With re_emit (a root that moved)
+    every current file is upserted.
     """
     spark = current.sparkSession
     if previous is None and unreadable:
@@ -148,7 +154,11 @@ def changes(previous: DataFrame | None, current: DataFrame, unreadable: list[tup
     if unreadable:
         rows = rows.unionByName(spark.createDataFrame([("pathUnavailable", None, p, r) for p, r in unreadable], "op string, document_id string, path string, reason string"))
     order = F.when(F.col("op") == "pathUnavailable", 0).when(F.col("op") == "delete", 1).when(F.col("op") == "permissionChanged", 2).otherwise(3)
-    return rows.withColumn("step", order).select("step", "op", "document_id", "path", "reason")
+    seq = order.cast("bigint") * (1 << 48) + F.monotonically_increasing_id()
+    rows = rows.select(seq.alias("seq"), "op", "document_id", "path", "reason", F.lit(None).cast("string").alias("cursor"))
+    if cursor is not None:
+        rows = rows.unionByName(spark.createDataFrame([(4 << 48, "checkpoint", None, None, None, cursor)], rows.schema))
+    return rows
 
 
 def next_state(previous: DataFrame | None, current: DataFrame, events: DataFrame) -> DataFrame:

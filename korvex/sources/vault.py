@@ -47,3 +47,12 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, list[tuple[str, str
     notes = source.payloads(files).withColumnRenamed("body", "contents")
     keep = notes.select("relative_path", "source_uri", "contents", "error", "content_type", "representation_id")
     return parse(keep.where("error IS NULL")), unreadable + [(r.relative_path, r.error) for r in keep.where("error IS NOT NULL").select("relative_path", "error").collect()]
+
+
+def ingest(client, root: str) -> dict:
+    """Parses a folder's notes and upserts them; counts of accepted, failed and unreadable ones."""
+    notes, unreadable = scan(client.spark, root)
+    out = {"accepted": 0, "failed": 0}
+    if notes.limit(1).count():
+        out = client.ingest(notes.select("id", "type", "title", "body", "cluster_id", "source_uri", F.lit("vault").alias("source_id"), "content_type"))
+    return out | {"unreadable": len(unreadable)}

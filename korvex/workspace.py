@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from korvex.client import IndexClient
 from korvex.functions.text import fold_text
 from korvex.operators import retrieval as R
+from korvex.plans.util import written
 
 
 @dataclass
@@ -92,9 +93,11 @@ class Workspace:
                 continue
             try:
                 client = self.session(e.id)
-                hits[e.id], _ = client.search(query, request)
-                spaces[e.id], status[e.id] = client.space, "ok"
+                found, diagnostics = client.search(query, request)
+                hits[e.id] = written(found)  # runs here, so that what breaks in a task is this index's failure alone
+                missing = diagnostics["missing_channels"]
+                spaces[e.id], status[e.id] = client.space, f"degraded: {', '.join(missing)}" if missing else "ok"
             except Exception as x:  # noqa: BLE001 - any failure of one index is its status
-                status[e.id] = f"failed: {x}"
+                status[e.id] = f"failed: {str(x)[:500]}"
         names = {e.id: e.name for e in self.entries}
         return (R.federate(hits, names, spaces) if hits else None), status

@@ -152,7 +152,7 @@ def test_migrations(spark, tmp_path):
         "chunks": row("chunks", chunk_id="k", document_id="d", active=True).unionByName(row("chunks", chunk_id="x", document_id="gone", active=True)),
         "embeddings": row("embeddings", embedding_id="1", chunk_id="k", modality="image").unionByName(row("embeddings", embedding_id="2", chunk_id="x")),
     })
-    assert migrate(c) == [2, 3, 4, 5] and migrate(c) == []
+    assert migrate(c) == [2, 3, 4, 5, 6] and migrate(c) == []
     assert [(r.chunk_id, r.modality) for r in c.read("chunks").collect()] == [("k", "image")]
     assert [r.embedding_id for r in c.read("embeddings").collect()] == ["1"]
 

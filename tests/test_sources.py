@@ -44,7 +44,7 @@ def state(spark, **fp):
 
 
 def events(df):
-    return [(r.op, r.document_id or r.path) for r in df.orderBy("step", "path", "document_id").collect()]
+    return [(r.op, r.document_id or r.path) for r in df.orderBy(F.expr("seq >> 48"), "path", "document_id").collect()]
 
 
 def test_changes(spark):
@@ -95,14 +95,14 @@ EVENT = "seq bigint, op string, document_id string, body string, cursor string"
 def test_sync_and_stream(spark, tmp_path):
     c = IndexClient(spark, str(tmp_path / "i"), HashingEmbedder(32))
     feed = [(1, "upsert", "a", "one", None), (2, "upsert", "b", "two", None), (3, "upsert", "a", "three", None), (4, "sourceUnavailable", None, None, None), (5, "checkpoint", None, None, "k1")]
-    assert sync.apply_changes(c, spark.createDataFrame(feed, EVENT)) == {"accepted": 2, "deleted": 0, "failed": 0, "cursor": "k1"}
+    assert sync.apply_changes(c, spark.createDataFrame(feed, EVENT)) == {"accepted": 2, "deleted": 0, "failed": 0, "cursor": "k1", "stopped": False}
     assert c.chunks("a").first().text == "three"
     moved = [(6, "move", "b", None, None), (7, "upsert", "d", "two", None), (8, "delete", "zz", None, None), (9, "checkpoint", None, None, "k2")]
     assert sync.apply_changes(c, spark.createDataFrame(moved, EVENT), "k1", lambda: True)["cursor"] == "k1"
-    assert sync.apply_changes(c, spark.createDataFrame(moved, EVENT), "k1") == {"accepted": 1, "deleted": 1, "failed": 0, "cursor": "k2"}
+    assert sync.apply_changes(c, spark.createDataFrame(moved, EVENT), "k1") == {"accepted": 1, "deleted": 1, "failed": 0, "cursor": "k2", "stopped": False}
     assert sync.apply_changes(c, spark.createDataFrame([(10, "checkpoint", None, None, "k3")], EVENT), "k2")["cursor"] == "k3"
     bad = spark.createDataFrame([(11, "upsert", "e", "x", None, "locked"), (12, "checkpoint", None, None, "k4", None)], EVENT + ", error string")
-    assert sync.apply_changes(c, bad, "k3") == {"accepted": 0, "deleted": 0, "failed": 1, "cursor": "k3"}
+    assert sync.apply_changes(c, bad, "k3") == {"accepted": 0, "deleted": 0, "failed": 1, "cursor": "k3", "stopped": False}
     spark.createDataFrame([(20, "upsert", "s", "streamed", None)], EVENT).write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
         out = []
