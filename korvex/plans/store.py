@@ -19,6 +19,7 @@ import json
 import os
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -150,19 +151,24 @@ class Corpus:
         the index has with it.
         """
         new = json.loads(json.dumps(self.state))
-        for name, df in tables.items():
+
+        def table(name: str, df: DataFrame) -> str | dict[str, str]:
             if name not in KEYED:
-                new["tables"][name] = self._store(name, df, SCHEMAS[name], None)
-                continue
-            old = new["tables"].get(name, {})
-            if buckets is not None and not isinstance(old, dict):
-                df, buckets_ = df.unionByName(self.read(name).where(~bucket_of(F.col("document_id"), new["buckets"]).isin(sorted(buckets)))), None
-            else:
-                buckets_ = buckets
-            stored = self._store(name, df, SCHEMAS[name], bucket_of(F.col("document_id"), new["buckets"]))
-            new["tables"][name] = stored if buckets_ is None else {b: p for b, p in old.items() if int(b) not in buckets_} | stored
-        if postings is not None:
-            new["segments"] = self._merged([*new["segments"], self._segment(fold(postings))])
+                return self._store(name, df, SCHEMAS[name], None)
+            old, touched, key = new["tables"].get(name, {}), buckets, bucket_of(F.col("document_id"), new["buckets"])
+            if touched is not None and not isinstance(old, dict):  # a table of an older version
+                df, touched = df.unionByName(self.read(name).where(~key.isin(sorted(touched)))), None
+            stored = self._store(name, df, SCHEMAS[name], key)
+            return stored if touched is None else {b: p for b, p in old.items() if int(b) not in touched} | stored
+
+        # The tables are written side by side, as most are small.
+        with ThreadPoolExecutor(8) as pool:
+            jobs = {name: pool.submit(table, name, df) for name, df in tables.items()}
+            segment = None if postings is None else pool.submit(self._segment, fold(postings))
+            stored = {name: job.result() for name, job in jobs.items()}
+            if segment is not None:
+                new["segments"] = self._merged([*new["segments"], segment.result()])
+        new["tables"] |= stored
         if index is not None:
             new["index"] = index
         self._create(self._manifest(self.generation + 1), json.dumps({"schema_version": SCHEMA_VERSION} | new))

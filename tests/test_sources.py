@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql.functions import expr
 
 from korvex.client import IndexClient
 from korvex.operators.embedding import HashingEmbedder
@@ -44,7 +45,7 @@ def state(spark, **fp):
 
 
 def events(df):
-    return [(r.op, r.document_id or r.path) for r in df.orderBy(F.expr("seq >> 48"), "path", "document_id").collect()]
+    return [(r.op, r.document_id or r.path) for r in df.orderBy(expr("seq >> 48"), "path", "document_id").collect()]
 
 
 def test_changes(spark):
