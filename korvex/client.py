@@ -44,6 +44,8 @@ class IndexClient:
         self.embedder = embedder or embedding.HashingEmbedder()
         self.stem = stem
         self.recent: list[dict] = []
+        #: Seconds that the channels of the last search took.
+        self.timings: dict[str, float] = {}
         migrate(self.corpus)
         if self.corpus.index["stem"] not in (None, stem):
             self.reindex()
@@ -206,11 +208,14 @@ class IndexClient:
         filters = replace(request.filters, cluster_id=None)
         pool = R.candidates(chunks, documents, filters, scope, embeddings)
         channels: dict[str, DataFrame] = {}
+        self.timings = {}
 
         def take(name: str, make: Callable[[], DataFrame]) -> None:
             """Runs a channel (k rows a query at most); one that fails is missing, and the search goes on without it."""
+            began = time.perf_counter()
             try:
                 channels[name] = cut(make())
+                self.timings[name] = time.perf_counter() - began
             except Exception as e:  # noqa: BLE001 - whatever broke, in planning or in a task
                 if request.strict:
                     raise

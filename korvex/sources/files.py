@@ -6,8 +6,10 @@ import base64
 import json
 import os
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,19 +89,8 @@ class LocalFiles:
 
     def payloads(self, scan: DataFrame) -> DataFrame:
         """scan with the files' contents, read by the executors: id, type, title, body and what an ingest needs."""
-        spark = scan.sparkSession
-        paths = [r.source_uri for r in scan.select("source_uri").collect()]  # a listing, not contents
-        if not paths:
-            content = spark.createDataFrame([], "path string, content binary")
-        else:
-            plain = [p for p in paths if not os.path.basename(p).startswith(("_", "."))]
-            parts = [spark.read.format("binaryFile").load(plain).select("path", "content")] if plain else []
-            skipped = [p for p in paths if p not in set(plain)]  # Spark's readers pass over these names
-            if skipped:
-                local = spark.createDataFrame([(p,) for p in skipped], "path string")
-                parts.append(local.mapInPandas(_read, "path string, content binary"))
-            content = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        content = content.select(F.regexp_replace("path", "^file:/*", "file:///").alias("source_uri"), "content")
+        where = F.regexp_replace("source_uri", "^file:/*", "file:///")
+        content = scan.select(where.alias("source_uri")).mapInArrow(_read, "source_uri string, content binary")
         both = scan.withColumn("source_uri", F.regexp_replace("source_uri", "^file:/*", "file:///")).join(content, "source_uri", "left")
         return text_payloads(both)
 
@@ -113,11 +104,30 @@ class LocalFiles:
         return self.payloads(df.withColumn("document_id", F.lit(f"{self.connector_id}:{relative_path}")).withColumn("relative_path", F.lit(relative_path)))
 
 
-def _read(frames):
-    import pandas as pd
+#: Bytes of files that a worker holds at once, about.
+HELD = 1 << 26
 
-    for f in frames:
-        yield pd.DataFrame({"path": f["path"], "content": [open(p.removeprefix("file://"), "rb").read() for p in f["path"]]})
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents of files that the executors can see; one that is gone by now has none."""
+
+    def out(rows: list[tuple[str, bytes | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["source_uri", "content"])
+
+    rows, held = [], 0
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            try:
+                with open(uri.removeprefix("file://"), "rb") as f:
+                    rows.append((uri, f.read()))
+            except OSError:
+                rows.append((uri, None))
+            held += len(rows[-1][1] or b"")
+            if held > HELD:
+                yield out(rows)
+                rows, held = [], 0
+    if rows:
+        yield out(rows)
 
 
 def text_payloads(files: DataFrame) -> DataFrame:

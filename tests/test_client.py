@@ -189,5 +189,5 @@ def test_bundle_and_latency(client, tmp_path):
     diagnostics.bundle(client, str(tmp_path / "d"))
     assert not os.path.exists(tmp_path / "d" / "last-search.json")
     assert diagnostics.percentile([], 0.5) is None and diagnostics.percentile(list(range(1, 101)), 0.95) == 95
-    assert set(diagnostics.benchmark(client, ["bread"], 1)) == {"Total", "FTS", "Vector", "SQL"}
+    assert set(diagnostics.benchmark(client, ["bread"], 1)) == {"Total", "FTS", "Vector", "SQL", "Fusion"}
     assert client.retrieval_pipeline()["fusion_constant"] == 60 and not client.model_status()["is_model_backed"]
