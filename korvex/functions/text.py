@@ -14,16 +14,13 @@ from pyspark.sql.types import ArrayType, StringType
 #: Characters that end a line once carriage returns are gone.
 NEWLINES = "\n\x0b\x0c\x85\u2028\u2029"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACE = "[\\s\\x85\\p{Z}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-@F.arrow_udf(StringType())
-def nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Canonical composition; ASCII batches pass as they are."""
-    for texts in batches:
-        values = texts.to_pylist()
-        yield pa.array([v if v is None or v.isascii() else unicodedata.normalize("NFC", v) for v in values], pa.string())
+def nfc(text: Column) -> Column:
+    """Canonical composition by the ICU library that Spark ships, so that no text goes to Python; ASCII texts and nulls stay as they are."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(F.octet_length(text) > F.char_length(text), composed).otherwise(text)
 
 
 @F.arrow_udf(StringType())
@@ -46,12 +43,13 @@ def fold_text(text: str) -> str:
 
 def trim(text: Column) -> Column:
     """Without white space and line ends at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, "^" + _SPACE, ""), _SPACE + "$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:
     """Line feeds only, composed characters, trimmed."""
-    return trim(nfc(F.regexp_replace(text, "\r\n?", "\n")))
+    lines = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return trim(nfc(F.when(F.contains(text, F.lit("\r")), lines).otherwise(text)))
 
 
 def tokens(text: Column) -> Column:
