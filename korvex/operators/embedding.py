@@ -9,13 +9,15 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korvex.functions.text import fnv1a, tokens
 from korvex.plans.util import spread
 
 DIMENSION = 1024
+#: Texts whose words are hashed at once.
+ROWS = 500
 
 
 class Embedder(Protocol):
@@ -86,20 +88,22 @@ def resolve(*makers: Callable[[], Embedder | None], dimension: int = DIMENSION)
 def buckets(texts: DataFrame, id_col: str, text_col: str, dimension: int = DIMENSION) -> DataFrame:
     """(id, bucket, weight): the non-zero entries of the hashing vectors."""
 
-    @F.arrow_udf("array<int>")
-    def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            words = lists.flatten().dictionary_encode()  # each word of a batch is hashed once
-            known = fnv1a([w.encode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]) % np.uint64(dimension)
-            flat = known[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
-            sizes = [0 if n is None else n for n in pc.list_value_length(lists).to_pylist()]
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.int32)))
-
-    # A text's words are hashed where the text is; only counts of buckets are shuffled.
-    rows = spread(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    counts = rows.select("id", F.explode(places(tokens(F.col("text")))).alias("bucket")).groupBy("id", "bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, "id").select("id", F.col("bucket").cast("bigint").alias("bucket"), (F.col("n") / F.col("norm")).alias("weight"))
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                words = part.column(1).flatten().dictionary_encode()  # each word of a part is hashed once
+                known = fnv1a([w.encode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]) % np.uint64(dimension)
+                flat = known[words.indices.to_numpy(zero_copy_only=False)].astype(np.int64) if len(words) else np.zeros(0, np.int64)
+                sizes = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
+                key, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * dimension + flat, return_counts=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(key // dimension)), pa.array(key % dimension), pa.array(n.astype(np.float64))], ["id", "bucket", "n"])
+
+    # A text's words are hashed and counted where the text is; counts are shuffled once, to their id, where all else is done.
+    rows = spread(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", tokens(F.col("text")).alias("words"))
+    counts = rows.mapInArrow(places, f"id {dict(rows.dtypes)['id']}, bucket bigint, n double").repartition("id").groupBy("id", "bucket").agg(F.sum("n").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
+    return counts.select("id", "bucket", (F.col("n") / norm).alias("weight"))
 
 
 def validated(vectors: DataFrame, dimension: int, column: str = "embedding") -> DataFrame:
