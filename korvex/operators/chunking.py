@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -60,8 +60,10 @@ def hashes(texts: list[str]) -> list[str]:
     return fnv1a_hex([b"chunk\xff" + t.encode("utf-8", "surrogatepass") + b"\xff" for t in texts])
 
 
-def spans_of(text: str) -> list[tuple]:
-    """(ordinal, text, the spans, context before, context after) of each window."""
+def spans_of(text: str, places: bool = True) -> list[tuple]:
+    """(ordinal, text, the spans, context before, context after) of each window; without places, (ordinal, text)."""
+    if not places:
+        return [(k, text[a:b]) for k, (a, b) in enumerate(windows(text))] if text else [(0, "")]
     if not text:
         return [(0, "", 0, 0, 0, 0, 0, 0, 1, 1, "", "")]
     spans = list(windows(text))
@@ -88,37 +90,58 @@ def spans_of(text: str) -> list[tuple]:
     return out
 
 
-_COLUMNS = [("ordinal", pa.int64()), ("text", pa.string()), ("content_hash", pa.string()), *[(s, pa.int64()) for s in _SPANS], ("context_before", pa.string()), ("context_after", pa.string())]
-CHUNK_SCHEMA = "document_id string, ordinal bigint, text string, content_hash string, " + ", ".join(f"{s} bigint" for s in _SPANS) + ", context_before string, context_after string, occurrence bigint"
-
-
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(ids: list, rows: list[tuple], seen: list[int]) -> pa.RecordBatch:
-        cols = list(zip(*rows))
-        cols.insert(2, hashes(list(cols[1])))
-        arrays = [pa.array(ids), *[pa.array(c, t) for c, (_, t) in zip(cols, _COLUMNS)], pa.array(seen, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["document_id", *[n for n, _ in _COLUMNS], "occurrence"])
-
-    ids, rows, seen = [], [], []
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            equal: Counter = Counter()
-            for row in spans_of(text.as_py() or ""):
-                ids.append(i)
-                rows.append(row)
-                seen.append(equal[row[1]])
-                equal[row[1]] += 1
-            if len(rows) > 4000:
-                yield out(ids, rows, seen)
-                ids, rows, seen = [], [], []
-    if rows:
-        yield out(ids, rows, seen)
-
-
-def chunk(objects: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
-    """The windows of every row's normalised body, with occurrence: how many equal windows came before in the document."""
-    rows = spread(objects.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(body_col), F.lit("")).alias("body")))
-    return rows.select("id", normalize(F.col("body"))).mapInArrow(_chunk, CHUNK_SCHEMA)
+_TEXTS = ("text", "content_hash", "context_before", "context_after")
+#: Columns of a window, in the order of spans_of(), the hash after the text.
+COLUMNS = ["ordinal", "text", "content_hash", *_SPANS, "context_before", "context_after", "occurrence"]
+#: Characters of windows that a worker holds before it sends them on.
+HELD = 1 << 21
+
+
+def _chunker(columns: list[str]):
+    """Rows (id, text, and others) to their windows, with the columns asked for and the others as they are."""
+    places = bool({*_SPANS, "context_before", "context_after"} & {*columns})
+    fields = [c for c in COLUMNS[:-1] if c != "content_hash"] if places else ["ordinal", "text"]
+
+    def out(batch: pa.RecordBatch, at: list[int], rows: list[tuple], seen: list[int]) -> pa.RecordBatch:
+        cols = dict(zip(fields, zip(*rows))) | {"occurrence": seen}
+        if "content_hash" in columns:
+            cols["content_hash"] = hashes(list(cols["text"]))
+        index = pa.array(at, pa.int64())
+        arrays = [pa.array(cols[c], pa.string() if c in _TEXTS else pa.int64()) for c in columns]
+        own = [batch.column(k).take(index) for k in range(batch.num_columns) if k != 1]
+        return pa.RecordBatch.from_arrays([own[0], *arrays, *own[1:]], ["document_id", *columns, *batch.schema.names[2:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, seen, size = [], [], [], 0
+            for k, text in enumerate(batch.column(1)):
+                equal: Counter = Counter()
+                for row in spans_of(text.as_py() or "", places):
+                    at.append(k)
+                    rows.append(row)
+                    if "occurrence" in columns:
+                        seen.append(equal[row[1]])
+                        equal[row[1]] += 1
+                    size += len(row[1])
+                if size > HELD:
+                    yield out(batch, at, rows, seen)
+                    at, rows, seen, size = [], [], [], 0
+            if rows:
+                yield out(batch, at, rows, seen)
+
+    return run
+
+
+def chunk(objects: DataFrame, id_col: str = "id", body_col: str = "body", columns: list[str] = COLUMNS, keep: Sequence[str] = ()) -> DataFrame:
+    """The windows of every row's normalised body, with occurrence: how many equal windows came before in the document.
+
+    columns: those to make, as hashes, spans and texts cost time and memory;
+    keep: columns of objects that every window repeats, which saves a join.
+    """
+    kinds = dict(objects.dtypes)
+    rows = spread(objects.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(body_col), F.lit("")).alias("body"), *keep))
+    schema = ["document_id string", *[f"{c} {'string' if c in _TEXTS else 'bigint'}" for c in columns], *[f"{c} {kinds[c]}" for c in keep]]
+    return rows.select("id", normalize(F.col("body")).alias("body"), *keep).mapInArrow(_chunker(list(columns)), ", ".join(schema))
 
 
 def occurrences(chunks: DataFrame) -> DataFrame:
