@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from korvex import queries as Q
+from korvex.client import IndexClient
 from korvex.functions import text as T
 from korvex.operators import chunking, embedding
 from korvex.operators import retrieval as R
+from korvex.plans import util
 
 DATA = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
@@ -88,3 +90,12 @@ def test_what_needs_no_terms_builds_no_index(spark, monkeypatch, name):
 @given
 def test_the_index_has_no_texts(spark):
     assert "text" not in Q._index(spark, DATA)[0].columns
+
+
+def test_an_ingest_leaves_no_tables_and_takes_the_last_of_an_id(spark, tmp_path):
+    rows = [("a", "old", 1), ("a", "new", 2), ("b", "x", 1), (None, "y", 1), (None, "z", 2)]
+    before = len(util._written.paths)
+    client = IndexClient(spark, str(tmp_path / "i"), embedding.HashingEmbedder(8))
+    assert client.ingest(spark.createDataFrame(rows, "id string, body string, seq bigint").repartition(4)) == {"accepted": 2, "failed": 1}
+    assert len(util._written.paths) == before
+    assert {(r.document_id, r.text) for r in client.corpus.read("chunks").collect()} == {("a", "new"), ("b", "x")}
